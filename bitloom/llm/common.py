@@ -5,10 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import bitloom
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Tasks carry this package's code with them: executors need not have it on their paths.
+cloudpickle.register_pickle_by_value(bitloom)
+
 #: Characters that separate words, as in every contract: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
