@@ -1 +1 @@
-"""Streaming layer of the bitloom engine."""
+"""The funnel over a stream of files."""
