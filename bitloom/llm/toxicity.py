@@ -111,9 +111,10 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(batch.column("text")):
             part = batch.slice(a, b - a)
             rows = [features(t, hashes) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_order"), part.column("_y"), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], ["_order", "_y", "at"]
-            )
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+            names = ["_order", "_same", "_y"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists], [*names, "at"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -132,14 +133,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .limit(MAX_TRAIN_ROWS)
     )
     # at most MAX_TRAIN_ROWS rows of three numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_order", "doc_id", "_y", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_order", F.xxhash64("text").alias("_same"), "_y", "text")
     size = F.sum(F.length(F.coalesce("text", F.lit("")))).over(
-        Window.partitionBy(F.lit(0)).orderBy("_order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(F.lit(0)).orderBy("_order", "_same").rowsBetween(Window.unboundedPreceding, 0)
     )
     bounded = sample.withColumn("_size", size).where(F.col("_size") <= MAX_TRAIN_CHARS).limit(MAX_TRAIN_ROWS)
-    rows = arrow_map(bounded.select("_order", "_y", "text"), _featurize, "_order long, _y int, at array<int>").toArrow()
-    found = sorted(zip(rows["_order"].to_pylist(), rows["_y"].to_pylist(), rows["at"].to_pylist(), strict=True))
-    return fit([(np.array(at, np.int64), y) for _, y, at in found])
+    rows = arrow_map(bounded.select("_order", "_same", "_y", "text"), _featurize, "_order long, _same long, _y int, at array<int>").toArrow().combine_chunks()
+    if not len(rows):
+        return fit([])
+    # the features stay in Arrow's buffer: as Python numbers they would take ten times the memory
+    order, same, labels_, lists = (rows.column(n).chunk(0) for n in ("_order", "_same", "_y", "at"))
+    ends, values, y = lists.offsets.to_numpy(), lists.values.to_numpy(), labels_.to_numpy()
+    arranged = np.lexsort((same.to_numpy(), order.to_numpy()))
+    return fit([(values[ends[i] : ends[i + 1]], int(y[i])) for i in arranged.tolist()])
 
 
 def score_texts(texts: list[str | None], table: np.ndarray, bias: float, hashes: WordHashes) -> np.ndarray:
