@@ -116,7 +116,7 @@ FORMATTED = "conv_id long, piece int, n_turns long, formatted string, loss_spans
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches sorted by conversation and turn to one row per conversation, or per piece of a long one."""
     held: pa.Table | None = None
-    piece = 0
+    piece, pieced = 0, None  # number of the next piece, and the conversation that it goes on
 
     def rows(part: pa.Table, ends: list[int], first: int) -> pa.RecordBatch:
         part = part.combine_chunks()
@@ -143,6 +143,8 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches([batch])
         part = pa.concat_tables([held, part]) if held is not None else part
         ids = part["conv_id"].to_pylist()
+        if piece and ids and ids[0] != pieced:
+            piece = 0
         ends = [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]
         if ends:
             yield rows(part.slice(0, ends[-1]), ends, piece)
@@ -150,7 +152,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = part.slice(ends[-1] if ends else 0)
         if held.nbytes > PIECE_BYTES:
             yield rows(held, [len(held)], piece)
-            piece, held = piece + 1, held.slice(len(held))
+            piece, pieced, held = piece + 1, ids[-1], held.slice(len(held))
     if held is not None and len(held):
         yield rows(held, [len(held)], piece)
 
