@@ -332,7 +332,7 @@ def query(docs: DataFrame) -> DataFrame:
 #: The pipeline's near duplicates: five-word shingles, 128 bits. At a Jaccard similarity of 0.8 two
 #: fingerprints differ in 19.5 of 128 bits on average (the angle's share), at 0.9 in 13.3; unrelated ones in 64.
 STAGE_SHINGLE, STAGE_SEEDS, STAGE_RADIUS = 5, (42, 43), 27
-STAGE_TABLES, STAGE_BITS = 48, 18
+STAGE_TABLES, STAGE_BITS = 96, 16
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
