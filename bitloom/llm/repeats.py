@@ -297,7 +297,8 @@ def covered_spans(base: DataFrame) -> DataFrame:
         .where("_n > 1")
         .select("anchor", (F.col("_lo") == F.col("_hi")).alias("same"))
     )
-    again = cut(found.join(several, "anchor"), "repeated")
+    # written first: Spark splits a skewed join only if its sides come straight from shuffles
+    again = cut(found.join(cut(several, "several"), "anchor"), "repeated")
     span = ["id", "version", "lo", (F.col("lo") + F.col("len")).alias("hi")]
     whole = again.where("same").select(*span)
     mixed = again.where(~F.col("same")).drop("same")
@@ -305,6 +306,7 @@ def covered_spans(base: DataFrame) -> DataFrame:
     kinds = cut(kinds, "contexts")
     copied = mixed.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(*span)
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("_kinds"), F.min("n").alias("_least")).where("_least = 1")
+    groups = cut(groups, "groups")
     wanted = kinds.join(groups, "anchor").select("_one.*", F.struct("anchor", "_one.lo", "_one.len", "n").alias("w"), "_kinds")
 
     def contexts(some: DataFrame) -> DataFrame:
