@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import WORD
+from bitloom.llm.common import WORD, cut
 
 #: Weights of sources by rank, repeating.
 WEIGHTS = (1, 2, 3)
@@ -95,7 +95,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         {"_class": size_class(F.col("_size")), "_bucket": F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 2)}
     )
     key = [F.col(source).alias("_src"), "_class", "_bucket"]
-    counts = cells.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"))
+    # counts of cells are needed three times; written once, so that texts are counted in two passes, not four
+    counts = cut(cells.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")), "cells")
     of_class = counts.groupBy("_src", "_class").agg(F.sum("_n").alias("_nc"), F.sum("_words").alias("_wc"))
     of_source = of_class.groupBy(F.col("_src").alias("source")).agg(F.sum("_wc").alias("source_size"))
     targets = source_targets(of_source).select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
