@@ -323,8 +323,9 @@ def query(docs: DataFrame) -> DataFrame:
     Null texts and texts without words have fingerprint zero and are linked like any other. Null
     ids stay rows of their own; they count for no component's smallest id.
     """
-    found = classes(cut(fingerprints(docs), "simhash"), block_masks(), RADIUS)
-    smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = cut(classes(cut(fingerprints(docs), "simhash"), block_masks(), RADIUS), "classes")
+    # written first: Spark splits a skewed join only if its sides come straight from shuffles
+    smallest = cut(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     digits = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))
     return found.join(smallest, "component").select("doc_id", digits.alias("fingerprint"), "component_id")
 
@@ -338,8 +339,8 @@ STAGE_TABLES, STAGE_BITS = 96, 16
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and _keep of each distinct id: kept is the smallest id of each group of near duplicates."""
     prints = cut(fingerprints(docs, STAGE_SHINGLE, STAGE_SEEDS), "simhash")
-    found = classes(prints, random_masks(STAGE_TABLES, STAGE_BITS, len(STAGE_SEEDS)), STAGE_RADIUS)
-    smallest = found.groupBy("component").agg(F.min("doc_id").alias("_first"))
+    found = cut(classes(prints, random_masks(STAGE_TABLES, STAGE_BITS, len(STAGE_SEEDS)), STAGE_RADIUS), "classes")
+    smallest = cut(found.groupBy("component").agg(F.min("doc_id").alias("_first")), "smallest")
     return (
         found.join(smallest, "component")
         .groupBy("doc_id")
