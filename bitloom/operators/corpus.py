@@ -63,6 +63,12 @@ def cheap_stage(ja: Column, en: Column, cfg: FilterConfig) -> Column:
     )
 
 
+def key_digest(ja: Column, en: Column) -> Column:
+    """128 bits of the duplicate key's SHA-256: what is shuffled instead of the texts."""
+    key = tx.dedup_key(ja, en)
+    return F.substring(F.sha2(F.concat_ws("\0", key["ja"], key["en"]), 256), 1, 32)
+
+
 def langid_stage(pairs: DataFrame, predict: Callable[[Column], Column], cfg: LangIDConfig) -> DataFrame:
     """Set stage to ``langid`` on pairs whose sides don't read as their languages.
 
@@ -94,8 +100,7 @@ def funnel_stages(
         .drop("ja_raw", "en_raw")
         .withColumn("stage", cheap_stage(F.col("ja"), F.col("en"), cfg))
     )
-    key = F.xxhash64(F.sha2(F.concat_ws("\0", tx.dedup_key(F.col("ja"), F.col("en"))["ja"], tx.dedup_key(F.col("ja"), F.col("en"))["en"]), 256))
-    keyed = staged.withColumn("_key", F.when(F.col("stage").isNull(), key))
+    keyed = staged.withColumn("_key", F.when(F.col("stage").isNull(), key_digest(F.col("ja"), F.col("en"))))
     first = (
         keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min(F.struct(*ORDER)).alias("_first")).withColumnRenamed("_key", "_k")
     )

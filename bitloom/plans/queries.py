@@ -575,3 +575,47 @@ def _(s, d):
 def _(s, d):
     docs = fx.table(s, d, "documents").select("text")
     return tok.token_stats(tok.encode_column(docs, "text", tok.train(docs, "text", 400).merges), F.col("text"), F.col("ids"))
+
+
+# --- reports and jobs ------------------------------------------------------------------------------
+
+
+@query("p28_prompts", with_("r(rule_id, role, target, required) AS (VALUES ('A', 'x', 'token', true), ('A', 'y', 'span', false), ('B', 'x', 'span', true))")
+       + "SELECT rule_id, rule_id || '(' || string_agg(role || CASE WHEN required THEN '' ELSE '?' END || ':' || target, ', ' ORDER BY role) || ')' AS line FROM r GROUP BY rule_id")
+def _(s, d):
+    from bitloom.plans.jobs import rule_digest
+
+    rows = [("A", "N5", "x", "token", True), ("A", "N5", "y", "span", False), ("B", "N5", "x", "span", True)]
+    return rule_digest(s.createDataFrame(rows, "rule_id string, level string, role string, target string, required boolean"))
+
+
+@query("a15_usage", "SELECT count(*) AS n, sum(o_custkey)::BIGINT AS prompt_tokens, sum(o_orderkey % 50)::BIGINT AS completion_tokens, sum(CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END)::BIGINT AS errors FROM orders")
+def _(s, d):
+    from bitloom.plans.jobs import usage
+
+    return usage(fx.table(s, d, "orders").select(F.col("o_custkey").alias("prompt_tokens"), (F.col("o_orderkey") % 50).alias("completion_tokens"), (F.col("o_orderkey") % 9 == 0).alias("error")))
+
+
+@query("e8_bakeoff_report", LATEST + ", b AS (SELECT run, avg(chrf) AS chrf, sum(n)::BIGINT AS tokens FROM newest GROUP BY run) SELECT run, chrf, tokens, tokens * 0.4 / 1e6 AS cost_usd FROM b")
+def _(s, d):
+    prices = s.createDataFrame([(0.4,)], "usd double")
+    by = newest(s, d).groupBy("run").agg(F.avg("chrf").alias("chrf"), F.sum("n").alias("tokens"))
+    return by.join(F.broadcast(prices), F.lit(True)).select("run", "chrf", "tokens", (F.col("tokens") * F.col("usd") / 1e6).alias("cost_usd")).orderBy(F.desc("chrf"), "run")
+
+
+@query("t12_vocabulary_sweep")
+def _(s, d):
+    """Tokens a sentence and characters a token for several vocabularies; the smaller ones are prefixes of the largest."""
+    docs = fx.table(s, d, "documents").select("text")
+    largest = tok.train(docs, "text", 420)
+    found = None
+    for size in (300, 360, 420):
+        merges = largest.prefix(size).merges
+        row = tok.token_stats(tok.encode_column(docs, "text", merges), F.col("text"), F.col("ids")).withColumn("label", tx.size_label(F.lit(size)))
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query("s9_s12_s24_reports", FUNNEL + f"SELECT coalesce(source, 'ALL') AS source, input_pairs, kept, keep_rate FROM (SELECT source, {COUNTS} FROM staged GROUP BY ROLLUP (source))")
+def _(s, d):
+    return corpus.funnel_counts(corpus.funnel_stages(fx.pairs(s, d)), totals=True).select("source", "input_pairs", "kept", "keep_rate")

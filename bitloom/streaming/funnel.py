@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bitloom.functions import text as tx
-from bitloom.operators.corpus import FilterConfig, funnel_stages
+from bitloom.operators.corpus import FilterConfig, funnel_stages, key_digest
 
 
 def stream_funnel(raw: DataFrame, keys_path: str, out_path: str, checkpoint: str, cfg: FilterConfig | None = None) -> StreamingQuery:
@@ -21,15 +20,14 @@ def stream_funnel(raw: DataFrame, keys_path: str, out_path: str, checkpoint: str
     def clean(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         staged = funnel_stages(batch, cfg)
-        pair = tx.dedup_key(F.col("ja"), F.col("en"))
-        key = F.xxhash64(F.sha2(F.concat_ws("\0", pair["ja"], pair["en"]), 256))
+        key = key_digest(F.col("ja"), F.col("en"))
         kept = staged.where("stage IS NULL").withColumn("key", key)
         try:
             seen = spark.read.parquet(keys_path).where(F.col("batch") < number)
         except Exception as e:  # the table isn't there before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            seen = spark.createDataFrame([], "key long, batch int")
+            seen = spark.createDataFrame([], "key string, batch int")
         old = seen.select(F.col("key").alias("_k")).distinct()
         judged = staged.withColumn("key", F.when(F.col("stage").isNull(), key)).join(old, F.col("key") == F.col("_k"), "left")
         final = judged.withColumn("stage", F.when(F.col("_k").isNotNull(), "dedup").otherwise(F.col("stage"))).drop("_k", "key")
