@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHRF_ORDER, CHRF_BETA, BLEU_ORDER = 6, 2.0, 4
 
 
-def _matches(pairs: DataFrame, units: Callable[[Column], Column], gram: Callable[[Column, Column, Column], Column], size: Callable[[Column], Column], order: int) -> DataFrame:
+def ngram_stats(hyp: Sequence, ref: Sequence, order: int) -> list[int]:
+    """Of each order n-grams of hyp, of ref, and clipped matches, of two strings or lists of tokens."""
+    out = []
+    for n in range(1, order + 1):
+        grams = [Counter(zip(*(x[k:] for k in range(n)), strict=False)) if not isinstance(x, str) else Counter(x[k : k + n] for k in range(len(x) - n + 1)) for x in (hyp, ref)]
+        out += [grams[0].total(), grams[1].total(), (grams[0] & grams[1]).total()]
+    return out
+
+
+def _matches(pairs: DataFrame, units: Callable[[Column], Column], order: int) -> DataFrame:
     """Per order: hyp and ref n-grams and clipped matches over the corpus.
 
-    ``gram(units, place, n)`` is the n-gram at a place from 1. The units are one column of a
-    projection of their own, so they are made once a sentence; n-grams are counted before the shuffle.
+    The counts of a sentence pair are made where the pair is, so no n-gram is shuffled: a task sends
+    three sums for each order.
     """
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hyp").alias("said")), F.struct(F.lit(1).alias("side"), F.col("ref").alias("said")))).alias("x")
-    rows = pairs.select("id", sides).select("id", "x.side", units(F.col("x.said")).alias("units"))
-    places = rows.select("id", "side", "units", F.explode(F.sequence(F.lit(1), F.greatest(size(F.col("units")), F.lit(1)))).alias("i"))
-    grams = places.select("id", "side", "units", "i", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")).where(F.col("i") + F.col("n") - 1 <= size(F.col("units")))
-    one = grams.select("id", "side", "n", gram(F.col("units"), F.col("i"), F.col("n")).alias("g"))
-    counts = one.groupBy("id", "n", "g").agg(F.sum(1 - F.col("side")).alias("h"), F.sum("side").alias("r"))
-    return counts.groupBy("n").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum(F.least("h", "r")).alias("hit"))
+
+    @F.pandas_udf("array<long>")
+    def run(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        plain = lambda x: x if isinstance(x, str) else list(x)
+        return pd.Series([ngram_stats(plain(h), plain(r), order) for h, r in zip(hyp, ref, strict=True)], dtype=object)
+
+    said = lambda c: units(F.coalesce(F.col(c), F.lit("")))
+    stats = pairs.select(run(said("hyp"), said("ref")).alias("s"))
+    sums = stats.agg(*[F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(3 * order)])
+    rows = F.array(*[F.struct(F.lit(n + 1).alias("n"), *[F.coalesce(f"s{3 * n + k}", F.lit(0)).alias(name) for k, name in enumerate(("hyp", "ref", "hit"))]) for n in range(order)])
+    return sums.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def visible(text: Column) -> Column:
@@ -32,7 +47,7 @@ def visible(text: Column) -> Column:
 
 def chrf(pairs: DataFrame) -> DataFrame:
     """One row, chrf, of rows (id, hyp, ref): character n-grams 1 to 6, beta 2, orders that both sides have."""
-    per = _matches(pairs, visible, F.substring, F.length, CHRF_ORDER).where("hyp > 0 AND ref > 0")
+    per = _matches(pairs, visible, CHRF_ORDER).where("hyp > 0 AND ref > 0")
     means = per.agg(F.avg(F.col("hit") / F.col("hyp")).alias("p"), F.avg(F.col("hit") / F.col("ref")).alias("r"))
     b = CHRF_BETA**2
     score = 100.0 * (1 + b) * F.col("p") * F.col("r") / F.nullif(b * F.col("p") + F.col("r"), F.lit(0.0))
@@ -54,7 +69,7 @@ def tokens_13a(text: Column) -> Column:
 
 def bleu(pairs: DataFrame) -> DataFrame:
     """One row, bleu, of rows (id, hyp, ref): 13a tokens, orders 1 to 4, exponential smoothing, brevity penalty."""
-    per = _matches(pairs, tokens_13a, lambda u, i, n: F.array_join(F.slice(u, i, n), "\u0001"), F.size, BLEU_ORDER)
+    per = _matches(pairs, tokens_13a, BLEU_ORDER)
     one = per.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct("hyp", "ref", "hit")))).alias("m"))
     get = lambda n, what: F.coalesce(F.try_element_at(F.col("m"), F.lit(n))[what], F.lit(0)).cast("double")
     logs, smooth = F.lit(0.0), F.lit(1.0)

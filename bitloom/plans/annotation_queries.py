@@ -1,4 +1,4 @@
-"""Queries of the annotation format over documents whose first line's words are tokens, with one fault in most of them."""
+"""Queries of the annotation format over documents whose words are tokens, with one fault in most of them."""
 
 from __future__ import annotations
 
@@ -25,10 +25,9 @@ def rules(s: SparkSession) -> DataFrame:
     return an.load_ruleset(s, "grammar-1.0", RULES_MARKDOWN)
 
 
-def first_words(s: SparkSession, d: str) -> DataFrame:
-    """doc_id and the first eight words of the first line, of documents that have two at least."""
-    line = F.split("text", "\n")[0]
-    words = F.slice(F.filter(F.split(line, " "), lambda w: w != ""), 1, 8)
+def all_words(s: SparkSession, d: str) -> DataFrame:
+    """doc_id and the words of the text, of documents that have two at least (a sentence of one can't be misplaced)."""
+    words = F.filter(F.split(F.translate("text", "\n", " "), " "), lambda w: w != "")
     return fx.table(s, d, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= 2)
 
 
@@ -56,11 +55,11 @@ def wires(s: SparkSession, d: str) -> DataFrame:
         line(an.SENTENCE, F.concat(f(6, "1:", "0:"), n.cast("string")), "said"), grammar,
     )
     joined = F.array_join("w", "")
-    source = F.when(fault == 3, F.concat(joined, F.lit("!"))).when(fault == 4, F.concat(F.get("w", F.lit(0)), F.lit("漢"), F.array_join(F.slice("w", 2, 8), ""))).otherwise(joined)
-    return first_words(s, d).select("doc_id", wire.alias("wire"), F.array(source).alias("source"), n.alias("n"))
+    source = F.when(fault == 3, F.concat(joined, F.lit("!"))).when(fault == 4, F.concat(F.get("w", F.lit(0)), F.lit("漢"), F.array_join(F.slice("w", F.lit(2), n), ""))).otherwise(joined)
+    return all_words(s, d).select("doc_id", wire.alias("wire"), F.array(source).alias("source"), n.alias("n"))
 
 
-W = """w AS (SELECT doc_id, list_filter(string_split(string_split(text, chr(10))[1], ' '), lambda x: x <> '')[1:8] AS w FROM documents),
+W = """w AS (SELECT doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM documents),
 d AS (SELECT doc_id, doc_id % 10 AS f, w, len(w) AS n FROM w WHERE len(w) >= 2)"""
 T = "chr(57345)"
 WIRE = rf"""wires AS (SELECT doc_id, chr(57344) || CASE WHEN f = 1 THEN '9.9' ELSE '0.2' END || chr(57359) || 'grammar-1.0' || e || chr(57349) || e ||
@@ -75,11 +74,10 @@ def parsed(s: SparkSession, d: str) -> DataFrame:
     return wires(s, d).withColumn("parsed", an.parse(F.col("wire")))
 
 
-@query("g1_g2_p13_parse", with_(W) + "SELECT doc_id, n::INT AS tokens, 1 AS words, 1 AS sentences, 1 AS grammar, array_to_string(w, '') || CASE WHEN f = 4 THEN '' ELSE '' END AS plain FROM d WHERE f <> 4")
+@query("g1_g2_p13_parse", with_(W) + "SELECT doc_id, n::INT AS tokens, 1 AS words, 1 AS sentences, 1 AS grammar, CASE WHEN f = 4 THEN w[1] || '漢' || array_to_string(w[2:], '') ELSE array_to_string(w, '') END AS plain FROM d")
 def _(s, d):
     p = F.col("parsed.doc.paragraphs")[0]
-    rows = parsed(s, d).where("doc_id % 10 <> 4")
-    return rows.select("doc_id", F.size(p["tokens"]).alias("tokens"), F.size(p["words"]).alias("words"), F.size(p["sentences"]).alias("sentences"),
+    return parsed(s, d).select("doc_id", F.size(p["tokens"]).alias("tokens"), F.size(p["words"]).alias("words"), F.size(p["sentences"]).alias("sentences"),
                        F.size(p["grammar"]).alias("grammar"), F.array_join(F.transform(p["tokens"], lambda t: t["surface"]), "").alias("plain"))
 
 
@@ -109,7 +107,7 @@ def _(s, d):
 
 def annotations(s: SparkSession, d: str) -> DataFrame:
     """i, text, morphs, content: a teacher's JSON with overlapping words, split sentences, unknown rules and bad targets."""
-    words = first_words(s, d)
+    words = all_words(s, d)
     morph = lambda w, i: F.struct(
         w.alias("surface"), F.array().cast("array<string>").alias("ruby"), F.lower(w).alias("dictionary_form"),
         F.when((i == 0) & (F.col("doc_id") % 8 == 0), "XXX").otherwise("NOUN").alias("pos"), F.lit(True).alias("ruby_ok"))
@@ -175,6 +173,6 @@ def _(s, d):
 def _(s, d):
     """Untrained weights: what counts is that batches, cache and decoding run over the whole table."""
     cfg = model.ModelConfig(vocab=tok.OFFSET + tok.BYTES)
-    rows = first_words(s, d).select(F.col("doc_id").alias("id"), F.array_join(F.slice("w", 1, 2), " ").alias("src"))
+    rows = fx.table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("src"))
     known = tok.Tokenizer([])
-    return model.translate(rows, cfg, model.new_weights(cfg), known.encode, known.decode, longest=4)
+    return model.translate(rows, cfg, model.new_weights(cfg), known.encode, known.decode, longest=8)

@@ -51,7 +51,7 @@ def clean_sql(x: str) -> str:
 
 def crawl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab-separated crawl lines: some without score, permuted, or with one field."""
-    p = pairs(spark, sf_dir).where("line_no < 3")
+    p = pairs(spark, sf_dir)
     score = F.format_string("0.%02d", (F.col("doc_id") % 100).cast("int"))
     url = F.concat(F.lit("http://a.example/"), F.col("doc_id").cast("string"))
     value = (
@@ -69,7 +69,7 @@ CRAWL = """crawl AS (
     WHEN doc_id % 17 = 0 THEN ja_raw || chr(9) || score || chr(9) || url || chr(9) || en_raw
     WHEN doc_id % 13 = 0 THEN url || chr(9) || url || chr(9) || en_raw || chr(9) || ja_raw
     ELSE url || chr(9) || url || chr(9) || score || chr(9) || en_raw || chr(9) || ja_raw END AS value
-  FROM (SELECT *, '0.' || lpad((doc_id % 100)::VARCHAR, 2, '0') AS score, 'http://a.example/' || doc_id AS url FROM pairs WHERE line_no < 3)
+  FROM (SELECT *, '0.' || lpad((doc_id % 100)::VARCHAR, 2, '0') AS score, 'http://a.example/' || doc_id AS url FROM pairs)
 )"""
 
 

@@ -49,12 +49,11 @@ def _(s, d):
     return fx.pairs(s, d).select("doc_id", "line_no", tx.normalize_text(F.col("en_raw")).alias("en"), tx.normalize_text(F.col("ja_raw")).alias("ja"))
 
 
-@query("p2_p11_private_use", r"""WITH t AS (SELECT doc_id, substr(text, 1, 40) || repeat(chr(57344 + (doc_id % 64)::INT), (doc_id % 4)::INT) AS x FROM documents)
+@query("p2_p11_private_use", r"""WITH t AS (SELECT doc_id, text || repeat(chr(57344 + (doc_id % 64)::INT), (doc_id % 4)::INT) AS x FROM documents)
 SELECT doc_id, (length(x) - length(regexp_replace(x, '\p{Co}', '', 'g')))::INT AS n_pua, regexp_matches(x, '[\x{E000}-\x{E01F}]') AS reserved FROM t""")
 def _(s, d):
-    mark = F.repeat(F.chr(F.lit(0)), 0)
     marks = F.array(*[F.lit(chr(57344 + k)) for k in range(64)])
-    x = F.concat(F.substring("text", 1, 40), mark, F.repeat(F.get(marks, (F.col("doc_id") % 64).cast("int")), (F.col("doc_id") % 4).cast("int")))
+    x = F.concat("text", F.repeat(F.get(marks, (F.col("doc_id") % 64).cast("int")), (F.col("doc_id") % 4).cast("int")))
     return fx.table(s, d, "documents").select("doc_id", x.alias("x")).select("doc_id", tx.count_pua(F.col("x")).alias("n_pua"), tx.contains_reserved(F.col("x")).alias("reserved"))
 
 
@@ -114,18 +113,19 @@ def _(s, d):
 MIXED_FROM, MIXED_TO = "aeiourstn", "漢字代木々アカサタ"
 
 
-@query("p14_p15_p16_kanji", with_(f"t AS (SELECT doc_id, translate(substr(text, 1, 60), '{MIXED_FROM}', '{MIXED_TO}') AS x FROM documents)") + r"""
+@query("p14_p15_p16_kanji", with_(f"t AS (SELECT doc_id, translate(text, '{MIXED_FROM}', '{MIXED_TO}') AS x FROM documents)") + r"""
 SELECT doc_id, len(regexp_extract_all(x, '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}]+'))::INT AS runs,
        translate(x, 'アカサタ', 'あかさた') AS hira, array_to_string(regexp_extract_all(x, '[\x{4E00}-\x{9FFF}\x{3005}]+|[^\x{4E00}-\x{9FFF}\x{3005}]+'), '|') AS segments FROM t""")
 def _(s, d):
-    x = F.translate(F.substring("text", 1, 60), MIXED_FROM, MIXED_TO)
+    x = F.translate("text", MIXED_FROM, MIXED_TO)
     return fx.table(s, d, "documents").select("doc_id", tx.kanji_runs(x).alias("runs"), tx.kata_to_hira(x).alias("hira"), F.array_join(tx.ruby_segments(x), "|").alias("segments"))
 
 
 @query("p17_ruby")
 def _(s, d):
-    x = F.translate(F.substring("text", 1, 12), MIXED_FROM, MIXED_TO)
-    return fx.table(s, d, "documents").select("doc_id", x.alias("surface"), tx.align_ruby(x, F.translate(x, "漢字代木々", "かじだきき")).alias("ruby"))
+    words = fx.table(s, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).distinct()  # each surface once
+    x = F.translate("w", MIXED_FROM, MIXED_TO)
+    return words.select("w", x.alias("surface"), tx.align_ruby(x, F.translate(x, "漢字代木々", "かじだきき")).alias("ruby"))
 
 
 POS1 = ["名詞", "助動詞", "補助記号", "動詞", "助詞", "連体詞", "フィラー", "未知"]
@@ -358,18 +358,19 @@ def _(s, d):
 
 
 @query("j3_s20_align", """WITH b AS (SELECT o_orderkey AS i, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_orderpriority END AS content FROM orders WHERE o_orderkey % 3 <> 0),
-r AS (SELECT unnest(range(0, 3000)) AS i) SELECT r.i, b.content FROM r LEFT JOIN b ON r.i = b.i""")
+r AS (SELECT unnest(range(0, (SELECT max(o_orderkey) + 1 FROM orders))) AS i) SELECT r.i, b.content FROM r LEFT JOIN b ON r.i = b.i""")
 def _(s, d):
-    o = fx.table(s, d, "orders").where("o_orderkey % 3 <> 0")
+    total = fx.table(s, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    o = fx.table(s, d, "orders").where("o_orderkey % 3 <> 0")  # every third result is missing
     body = F.struct(F.struct(F.array(F.struct(F.struct(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("\n")).alias("content")).alias("message"))).alias("choices")).alias("body"))
     good = F.to_json(F.struct(F.concat(F.lit("row-"), F.col("o_orderkey").cast("string")).alias("custom_id"), body.alias("response")))
     bad = F.to_json(F.struct(F.concat(F.lit("row-"), F.col("o_orderkey").cast("string")).alias("custom_id"), F.lit("failed").alias("error")))
-    return hygiene.align_to_range(hygiene.parse_results(o.select(F.when(F.col("o_orderkey") % 23 == 0, bad).otherwise(good).alias("value"))), 3000)
+    return hygiene.align_to_range(hygiene.parse_results(o.select(F.when(F.col("o_orderkey") % 23 == 0, bad).otherwise(good).alias("value"))), total)
 
 
-@query("s18_requests", "SELECT doc_id AS i, doc_id // 45000 AS chunk, 'row-' || doc_id AS custom_id, 'm' AS model, substr(text, 1, 30) AS content FROM documents")
+@query("s18_requests", "SELECT doc_id AS i, doc_id // 45000 AS chunk, 'row-' || doc_id AS custom_id, 'm' AS model, text AS content FROM documents")
 def _(s, d):
-    lines = hygiene.requests_jsonl(fx.table(s, d, "documents").select(F.col("doc_id").alias("i"), F.substring("text", 1, 30).alias("text")), "m", "Translate.")
+    lines = hygiene.requests_jsonl(fx.table(s, d, "documents").select(F.col("doc_id").alias("i"), "text"), "m", "Translate.")
     at = lambda path: F.get_json_object("value", path)
     return lines.select("i", "chunk", at("$.custom_id").alias("custom_id"), at("$.body.model").alias("model"), at("$.body.messages[1].content").alias("content"))
 
@@ -414,7 +415,7 @@ def _(s, d):
 
 # --- lexical baseline and metrics ------------------------------------------------------------------
 
-WORDS = with_(fx.PAIRS) + ", w AS (SELECT doc_id * 10000 + line_no AS id, list_filter(string_split(ja_raw, ' '), lambda x: x <> '') AS src, list_filter(string_split(en_raw, ' '), lambda x: x <> '') AS tgt FROM pairs WHERE line_no < 2 AND length(en_raw) < 400) "
+WORDS = with_(fx.PAIRS) + ", w AS (SELECT doc_id * 10000 + line_no AS id, list_filter(string_split(ja_raw, ' '), lambda x: x <> '') AS src, list_filter(string_split(en_raw, ' '), lambda x: x <> '') AS tgt FROM pairs) "
 LEXICON = """, freq AS (SELECT tgt, count(*) AS freq FROM (SELECT unnest(tgt) AS tgt FROM w) GROUP BY tgt),
 co AS (SELECT src, tgt, count(*) AS n FROM (SELECT DISTINCT id, src, tgt FROM (SELECT id, src, unnest(tgt) AS tgt FROM (SELECT id, unnest(src) AS src, tgt FROM w))) GROUP BY src, tgt),
 lex AS (SELECT src, tgt FROM (SELECT src, co.tgt, row_number() OVER (PARTITION BY src ORDER BY n / freq::DOUBLE DESC, co.tgt) AS r FROM co JOIN freq ON co.tgt = freq.tgt) WHERE r = 1)"""
@@ -422,7 +423,7 @@ lex AS (SELECT src, tgt FROM (SELECT src, co.tgt, row_number() OVER (PARTITION B
 
 def word_pairs(s: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    rows = fx.pairs(s, d).where("line_no < 2 AND length(en_raw) < 400")
+    rows = fx.pairs(s, d)
     return rows.select((F.col("doc_id") * 10000 + F.col("line_no")).alias("id"), words(F.col("ja_raw")).alias("src"), words(F.col("en_raw")).alias("tgt"))
 
 
@@ -440,12 +441,12 @@ def _(s, d):
 
 
 HYP = r"""hr AS (SELECT doc_id AS id, ref, array_to_string(list_transform(list_filter(list_zip(ws, range(0, len(ws))), lambda z: z[2] % 4 <> 3), lambda z: z[1]), ' ') AS hyp
-FROM (SELECT doc_id, ref, string_split(ref, ' ') AS ws FROM (SELECT doc_id, string_split(text, chr(10))[1] AS ref FROM documents)))"""
+FROM (SELECT doc_id * 100000 + line_no AS doc_id, en_raw AS ref, string_split(en_raw, ' ') AS ws FROM pairs))"""
 
 
 def hyp_ref(s: SparkSession, d: str) -> DataFrame:
-    """The first line of each document, and the same without every fourth word."""
-    line = fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("ref"))
+    """All lines, and the same without every fourth word."""
+    line = fx.pairs(s, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), F.col("en_raw").alias("ref"))
     return line.select("id", "ref", F.array_join(F.filter(F.split("ref", " "), lambda w, i: i % 4 != 3), " ").alias("hyp"))
 
 
@@ -459,7 +460,7 @@ def ngram_sql(units: str, order: int, joiner: str) -> str:
 per AS (SELECT n, sum(h) AS hyp, sum(r) AS ref, sum(least(h, r)) AS hit FROM counts GROUP BY n)"""
 
 
-@query("e1_a16_chrf", with_(HYP) + r", u AS (SELECT id, string_split(regexp_replace(hyp, '\s+', '', 'g'), '') AS h, string_split(regexp_replace(ref, '\s+', '', 'g'), '') AS r FROM hr), "
+@query("e1_a16_chrf", with_(fx.PAIRS, HYP) + r", u AS (SELECT id, string_split(regexp_replace(hyp, '\s+', '', 'g'), '') AS h, string_split(regexp_replace(ref, '\s+', '', 'g'), '') AS r FROM hr), "
        + ngram_sql("u", 6, "") + ", m AS (SELECT avg(hit / hyp::DOUBLE) AS p, avg(hit / ref::DOUBLE) AS q FROM per WHERE hyp > 0 AND ref > 0) SELECT round(coalesce(100.0 * 5.0 * p * q / nullif(4.0 * p + q, 0), 0.0), 9) AS chrf FROM m")
 def _(s, d):
     return metrics.chrf(hyp_ref(s, d)).select(F.round("chrf", 9).alias("chrf"))
@@ -473,7 +474,7 @@ def tokens_sql(x: str) -> str:
     return rf"list_filter(regexp_split_to_array({out}, '\s+'), lambda w: w <> '')"
 
 
-@query("e2_a17_bleu", with_(HYP) + f", u AS (SELECT id, {tokens_sql('hyp')} AS h, {tokens_sql('ref')} AS r FROM hr), " + ngram_sql("u", 4, "\x01")
+@query("e2_a17_bleu", with_(fx.PAIRS, HYP) + f", u AS (SELECT id, {tokens_sql('hyp')} AS h, {tokens_sql('ref')} AS r FROM hr), " + ngram_sql("u", 4, "\x01")
        + """, z AS (SELECT n, hyp, ref, hit, sum(CASE WHEN hit = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS k FROM per)
 SELECT round(coalesce(CASE WHEN count(*) = 4 AND min(hyp) > 0 THEN 100.0 * min(CASE WHEN n = 1 THEN CASE WHEN hyp < ref THEN exp(1 - ref / hyp::DOUBLE) ELSE 1.0 END END)
  * exp(sum(ln(CASE WHEN hit = 0 THEN 1.0 / (pow(2, k) * hyp) ELSE hit / hyp::DOUBLE END)) / 4) END, 0.0), 9) AS bleu FROM z""")
@@ -481,11 +482,11 @@ def _(s, d):
     return metrics.bleu(hyp_ref(s, d)).select(F.round("bleu", 9).alias("bleu"))
 
 
-@query("m1_a18_loss", """WITH t AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS x, (vec_id % 16)::INT AS gold FROM embeddings), m AS (SELECT vec_id, x, gold, list_max(x) AS top FROM t),
+@query("m1_a18_loss", """WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS x, (vec_id % len(embedding))::INT AS gold FROM embeddings), m AS (SELECT vec_id, x, gold, list_max(x) AS top FROM t),
 l AS (SELECT vec_id, x, gold, top + ln(list_sum(list_transform(x, lambda v: exp(v - top)))) AS z FROM m)
-SELECT vec_id, round(CASE WHEN gold = 0 THEN 0.0 ELSE 0.9 * (z - x[gold + 1]) + 0.1 * (z - list_sum(x) / 16) END, 9) AS loss FROM l""")
+SELECT vec_id, round(CASE WHEN gold = 0 THEN 0.0 ELSE 0.9 * (z - x[gold + 1]) + 0.1 * (z - list_sum(x) / len(x)) END, 9) AS loss FROM l""")
 def _(s, d):
-    x, gold = F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double")), (F.col("vec_id") % 16).cast("int")
+    x, gold = F.transform("embedding", lambda v: v.cast("double")), (F.col("vec_id") % F.size("embedding")).cast("int")
     return fx.table(s, d, "embeddings").select("vec_id", x.alias("x"), gold.alias("gold")).select("vec_id", F.round(metrics.smoothed_loss(F.col("x"), F.col("gold"), 0.1), 9).alias("loss"))
 
 
@@ -538,14 +539,13 @@ def _(s, d):
 
 
 def token_rows(s: SparkSession, d: str) -> DataFrame:
-    """idx, src, tgt: ids from the bytes of each document's beginning."""
-    hexed = F.hex(F.encode(F.substring("text", 1, 40), "UTF-8"))
-    ids = F.transform(F.sequence(F.lit(0), F.greatest((F.length(hexed) / 2).cast("int") - 1, F.lit(0))), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + tok.OFFSET)
-    src, tgt = tok.as_training_pair(F.col("ids"), F.slice("ids", 1, 20), 32)
-    return fx.table(s, d, "documents").where("text <> ''").select(F.col("doc_id").alias("idx"), ids.alias("ids")).select("idx", src.alias("src"), tgt.alias("tgt"))
+    """idx, src, tgt: ids of each document's bytes, at most 128 and 64 of them, as a store has bounds for both sides."""
+    ids = tok.encode_column(fx.table(s, d, "documents").where("text <> ''"), "text", [])  # without merges: bytes
+    src, tgt = tok.as_training_pair(F.col("ids"), F.col("ids"), 128)[0], tok.as_training_pair(F.col("ids"), F.col("ids"), 64)[1]
+    return ids.select(F.col("doc_id").alias("idx"), src.alias("src"), tgt.alias("tgt"))
 
 
-LENGTHS = """lens AS (SELECT doc_id AS idx, (least(octet_length(encode(substr(text, 1, 40))), 31) + 1)::BIGINT AS src, (least(octet_length(encode(substr(text, 1, 40))), 20) + 2)::BIGINT AS tgt FROM documents WHERE text <> '')"""
+LENGTHS = """lens AS (SELECT doc_id AS idx, (least(octet_length(encode(text)), 127) + 1)::BIGINT AS src, (least(octet_length(encode(text)), 62) + 2)::BIGINT AS tgt FROM documents WHERE text <> '')"""
 
 
 @query("w2_t8_s13_s14_offsets", with_(LENGTHS) + """SELECT idx, coalesce(sum(src) OVER w, 0)::BIGINT AS src_off, src AS src_len, coalesce(sum(tgt) OVER w, 0)::BIGINT AS tgt_off, tgt AS tgt_len, greatest(src, tgt) AS length
@@ -561,9 +561,9 @@ def _(s, d):
     return tok.pad_batches(rows, "src").select("idx", "real", F.size("src").cast("long").alias("padded"))
 
 
-@query("p29_f10_output_ids", with_(LENGTHS) + "SELECT idx, tgt - 2 AS n, src <= 24 AND tgt <= 22 AS fits FROM lens")
+@query("p29_f10_output_ids", with_(LENGTHS) + "SELECT idx, tgt - 2 AS n, src <= 100 AND tgt <= 60 AS fits FROM lens")
 def _(s, d):
-    return token_rows(s, d).select("idx", F.size(tok.output_ids(F.col("tgt"))).cast("long").alias("n"), ((F.size("src") <= 24) & (F.size("tgt") <= 22)).alias("fits"))
+    return token_rows(s, d).select("idx", F.size(tok.output_ids(F.col("tgt"))).cast("long").alias("n"), ((F.size("src") <= 100) & (F.size("tgt") <= 60)).alias("fits"))
 
 
 @query("t9_w9_x8_x12_batches")
