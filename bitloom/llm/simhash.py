@@ -243,12 +243,15 @@ def _links(radius: int, words: int):
             part = part.filter(pa.array(several))
             if not len(part):
                 return
-            node, side = part["node"].to_numpy(), part["_side"].to_numpy()
+            side = part["_side"].to_numpy()
             values = np.column_stack([part[f"f{w}"].to_numpy() for w in range(words)]).view(np.uint64)
             label = link_rows(part["_bucket"].to_numpy(), side, np.ascontiguousarray(values), radius)
-            linked = np.flatnonzero(label != np.arange(len(label)))
+            # one link for each known component that is new to the bucket's component
+            group, root = part["group"].to_numpy(), np.arange(len(label))
+            linked = np.flatnonzero((label != root) & (group != group[label]))
             if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(node[label[linked]]), pa.array(node[linked])], ["u", "v"])
+                links = np.unique(np.column_stack([label[linked], group[linked]]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(group[links[:, 0]]), pa.array(links[:, 1])], ["u", "v"])
 
         waiting: list[pa.Table] = []
         size = 0
@@ -272,17 +275,17 @@ def _links(radius: int, words: int):
 
 
 def link(nodes: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
-    """Links (u, v) between fingerprints: ``nodes`` has node (a number) and f0, f1 ... with distinct values.
+    """Links (u, v) between groups of fingerprints: ``nodes`` has node (a number), group and f0, f1 ... with distinct values.
 
-    What comes back spans the components of near fingerprints within each bucket; it grows with the
-    fingerprints, not with their pairs.
+    Within each bucket the links span the components of near fingerprints; fingerprints of one group
+    count as linked already. Links grow with the fingerprints, not with their pairs.
     """
     words = len(masks[0])
     names = [f"f{w}" for w in range(words)]
     keys = [
         F.xxhash64(F.lit(t), *[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(names, mask, strict=True)]) for t, mask in enumerate(masks)
     ]
-    dealt = nodes.select("node", *names, F.explode(F.array(*keys)).alias("_key"))
+    dealt = nodes.select("node", "group", *names, F.explode(F.array(*keys)).alias("_key"))
     # a key is a hash of what a table's fingerprints agree on: an accidental clash only adds comparisons
     hot = dealt.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET_MAX)
     tiles = F.ceil(F.col("_n") / BUCKET_MAX).cast("int")
@@ -291,25 +294,33 @@ def link(nodes: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
     tiled = sized.withColumn("_t", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     low, high = F.least("_t", "_o"), F.greatest("_t", "_o")
     placed = tiled.select(
-        "node", *names,
+        "group", *names,
         F.when(F.col("_tiles") == 1, F.col("_key")).otherwise(F.xxhash64("_key", low, high)).alias("_bucket"),
         F.when(low == high, F.lit(2)).when(F.col("_t") == low, F.lit(0)).otherwise(F.lit(1)).alias("_side"),
     )
-    arranged = placed.repartition("_bucket").sortWithinPartitions("_bucket", "_side")
+    # by group too, so that a component's links in all tables lead to the same smallest group where they can
+    arranged = placed.repartition("_bucket").sortWithinPartitions("_bucket", "_side", "group")
     return arrow_map(arranged, _links(radius, words), "u long, v long")
 
 
-def classes(prints: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
+def classes(prints: DataFrame, masks: list[list[int]], radius: int, first: int | None = None) -> DataFrame:
     """doc_id, fp and component (a number) of every row of ``prints`` (doc_id, fp array<long>).
 
-    Equal fingerprints are one node, however many documents have them.
+    Equal fingerprints are one node, however many documents have them. With ``first`` so many tables
+    are searched before the others: a group of near copies is one group then, and the other tables
+    add a link only where it meets another, not one for each member and table.
     """
     words = len(masks[0])
     flat = prints.select("doc_id", "fp", *[F.col("fp")[w].alias(f"f{w}") for w in range(words)])
     names = [f"f{w}" for w in range(words)]
     node = F.col("f0") if words == 1 else F.xxhash64(*names)
-    nodes = flat.select(node.alias("node"), *names).distinct()
-    found = components(link(nodes, masks, radius))
+    nodes = flat.select(node.alias("node"), *names).distinct().withColumn("group", F.col("node"))
+    found = components(link(nodes, masks[:first], radius))
+    if first is not None:
+        known = found.withColumnRenamed("root", "group")
+        grouped = cut(nodes.drop("group").join(known, "node", "left").withColumn("group", F.coalesce("group", "node")), "groups")
+        merged = components(link(grouped, masks[first:], radius)).withColumnRenamed("node", "group")
+        found = grouped.join(merged, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
     return (
         flat.withColumn("node", node)
         .join(found, "node", "left")
@@ -333,13 +344,13 @@ def query(docs: DataFrame) -> DataFrame:
 #: The pipeline's near duplicates: five-word shingles, 128 bits. At a Jaccard similarity of 0.8 two
 #: fingerprints differ in 19.5 of 128 bits on average (the angle's share), at 0.9 in 13.3; unrelated ones in 64.
 STAGE_SHINGLE, STAGE_SEEDS, STAGE_RADIUS = 5, (42, 43), 27
-STAGE_TABLES, STAGE_BITS = 96, 16
+STAGE_TABLES, STAGE_BITS, STAGE_FIRST = 96, 16, 12
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and _keep of each distinct id: kept is the smallest id of each group of near duplicates."""
     prints = cut(fingerprints(docs, STAGE_SHINGLE, STAGE_SEEDS), "simhash")
-    found = cut(classes(prints, random_masks(STAGE_TABLES, STAGE_BITS, len(STAGE_SEEDS)), STAGE_RADIUS), "classes")
+    found = cut(classes(prints, random_masks(STAGE_TABLES, STAGE_BITS, len(STAGE_SEEDS)), STAGE_RADIUS, STAGE_FIRST), "classes")
     smallest = cut(found.groupBy("component").agg(F.min("doc_id").alias("_first")), "smallest")
     return (
         found.join(smallest, "component")
