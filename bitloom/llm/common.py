@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = f"file:///tmp/bitloom-checkpoints-{spark.sparkContext.applicationId}"
+        local = f"/tmp/bitloom-checkpoints-{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        there = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
