@@ -9,6 +9,9 @@ adders on such words, and a block is abandoned as soon as all its 64 distances e
 A bucket gives the links of its components' members to one of them, never all its pairs. Buckets
 beyond BUCKET_MAX are dealt out as pairs of tiles, so every pair is still compared but no task
 holds the bucket.
+
+The pipeline's near duplicates take such components as candidates only: the sets of shingles of a
+component's members meet, and pairs of at least the required Jaccard similarity are linked anew.
 """
 
 from __future__ import annotations
@@ -304,14 +307,14 @@ def link(nodes: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
 
 
 def classes(prints: DataFrame, masks: list[list[int]], radius: int, first: int | None = None) -> DataFrame:
-    """doc_id, fp and component (a number) of every row of ``prints`` (doc_id, fp array<long>).
+    """All columns and component (a number) of every row of ``prints`` (doc_id, fp array<long> and more).
 
     Equal fingerprints are one node, however many documents have them. With ``first`` so many tables
     are searched before the others: a group of near copies is one group then, and the other tables
     add a link only where it meets another, not one for each member and table.
     """
     words = len(masks[0])
-    flat = prints.select("doc_id", "fp", *[F.col("fp")[w].alias(f"f{w}") for w in range(words)])
+    flat = prints.select(*prints.columns, *[F.col("fp")[w].alias(f"f{w}") for w in range(words)])
     names = [f"f{w}" for w in range(words)]
     node = F.col("f0") if words == 1 else F.xxhash64(*names)
     nodes = flat.select(node.alias("node"), *names).distinct().withColumn("group", F.col("node"))
@@ -322,9 +325,9 @@ def classes(prints: DataFrame, masks: list[list[int]], radius: int, first: int |
         merged = components(link(grouped, masks[first:], radius)).withColumnRenamed("node", "group")
         found = grouped.join(merged, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
     return (
-        flat.withColumn("node", node)
-        .join(found, "node", "left")
-        .select("doc_id", "fp", F.coalesce("root", "node").alias("component"))
+        flat.withColumn("_node", node)
+        .join(found.withColumnRenamed("node", "_node"), "_node", "left")
+        .select(*prints.columns, F.coalesce("root", "_node").alias("component"))
     )
 
 
@@ -341,16 +344,157 @@ def query(docs: DataFrame) -> DataFrame:
     return found.join(smallest, "component").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-#: The pipeline's near duplicates: five-word shingles, 128 bits. At a Jaccard similarity of 0.8 two
-#: fingerprints differ in 19.5 of 128 bits on average (the angle's share), at 0.9 in 13.3; unrelated ones in 64.
-STAGE_SHINGLE, STAGE_SEEDS, STAGE_RADIUS = 5, (42, 43), 27
+#: The pipeline's near duplicates: distinct five-word shingles, 128 bits for candidates. At a Jaccard similarity of 0.8
+#: two fingerprints differ in 19.5 of 128 bits on average (the angle's share), at 0.9 in 13.3; unrelated ones in 64.
+STAGE_SHINGLE, STAGE_SEEDS, STAGE_RADIUS = 5, (42, 43), 31
 STAGE_TABLES, STAGE_BITS, STAGE_FIRST = 96, 16, 12
+#: The least Jaccard similarity of near duplicates, as a fraction.
+STAGE_LEAST = (4, 5)
+#: Sets of a component that one task compares with each other, and their shingles; larger components are tiled.
+SETS_MAX, SHINGLES_MAX = 4096, 1 << 22
+
+PRINTS = "doc_id long, fp array<long>, row long, node long, size long"
+MEMBERS = "node long, hashes binary, _bucket long, _side int"
+
+
+def shingle_set(text: str | None, size: int, seed: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, size, seed).view(">u8").ravel().astype(np.uint64))
+
+
+def set_fingerprints(docs: DataFrame, size: int, seeds: tuple[int, ...]) -> DataFrame:
+    """PRINTS of every row of ``docs`` (doc_id, text, row): fingerprints of distinct shingles; node is a hash of their set, size their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                fps, nodes, sizes = [], [], []
+                for t in part.column("text").to_pylist():
+                    sets = [shingle_set(t, size, s) for s in seeds]
+                    fps.append([majority(x.astype(">u8").view(np.uint8).reshape(-1, 8)) for x in sets])
+                    nodes.append(_signed(xxhash.xxh3_64_intdigest(sets[0].tobytes())))
+                    sizes.append(len(sets[0]))
+                columns = [part.column("doc_id"), pa.array(fps, pa.list_(pa.int64())), part.column("row"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "row", "node", "size"])
+
+    return arrow_map(docs.select("doc_id", "text", "row"), run, PRINTS)
+
+
+def similar_sets(sets: list[np.ndarray], side: list[int], least: tuple[int, int]) -> np.ndarray:
+    """Component labels (places in the list) of sets that are linked by a Jaccard similarity of at least ``least``.
+
+    Sets of sides 0 and 1 are compared across only, others all with all. Two sets so similar share
+    one of their rarest shingles, so many that the rest is too small; all pairs that do are counted
+    out, but for those in one component already.
+    """
+    p, q = least
+    label = np.arange(len(sets))
+    size = np.array([len(x) for x in sets], np.int64)
+    if not size.sum():
+        return label
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    begin = np.cumsum(size) - size
+    flat = rank[ids.ravel()]
+    tokens = [np.sort(flat[a : a + n]) for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+    sides = np.array(side)
+    index: dict[int, list[int]] = {}
+    marked = np.zeros(len(often), bool)
+    for i in np.argsort(size, kind="stable").tolist():
+        n = int(size[i])
+        if not n:
+            continue
+        prefix = tokens[i][: n + 1 + -p * n // q].tolist()  # all but the least overlap, and one
+        met = [index[t] for t in prefix if t in index]
+        near = np.unique(np.concatenate([np.array(m) for m in met])) if met else np.zeros(0, np.int64)
+        near = near[(q * size[near] >= p * n) & ((sides[near] != side[i]) | (side[i] == 2))]
+        marked[tokens[i]] = True
+        step = 16
+        while len(near := near[label[near] != label[i]]):
+            some, near = near[:step], near[step:]
+            cuts = np.cumsum(size[some]) - size[some]
+            both = np.add.reduceat(marked[np.concatenate([tokens[j] for j in some.tolist()])].astype(np.int64), cuts)
+            for j in some[q * both >= p * (n + size[some] - both)].tolist():
+                a, b = sorted((int(label[i]), int(label[j])))
+                if a != b:
+                    label[label == b] = a
+            step = min(2 * step, 512)
+        marked[tokens[i]] = False
+        for t in prefix:
+            index.setdefault(t, []).append(i)
+    return label
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MEMBERS sorted by bucket and node to the links (u, v) of similar sets; a bucket is never cut."""
+
+    def links(held: dict[int, tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            nodes = np.array(list(held), np.int64)
+            label = similar_sets([x for x, _ in held.values()], [s for _, s in held.values()], STAGE_LEAST)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[label[linked]]), pa.array(nodes[linked])], ["u", "v"])
+
+    bucket, held = None, {}
+    for batch in batches:
+        for node, raw, at, side in zip(*(batch.column(n) for n in ("node", "hashes", "_bucket", "_side")), strict=True):
+            if at.as_py() != bucket:
+                yield from links(held)
+                bucket, held = at.as_py(), {}
+            held[node.as_py()] = (np.frombuffer(raw.as_py(), np.uint64), side.as_py())
+    yield from links(held)
+
+
+def similar(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (u, v) from the smallest node of each group of similar ones to the others; ``texts`` (row, text) has the rows of ``found``.
+
+    Each different set of shingles is made once from one of its texts. Within a component all sets are
+    compared, not only those that met in a table. Only where a component is tiled its links are put
+    together by label rounds.
+    """
+    kinds = cut(found.groupBy("component", "node").agg(F.min("row").alias("row"), F.max("size").alias("size")), "sets")
+    groups = kinds.groupBy("component").agg(F.count("*").alias("_n"), F.sum("size").alias("_size")).where("_n > 1")
+    tiles = F.greatest(F.ceil(F.col("_n") / SETS_MAX), F.ceil(F.col("_size") / SHINGLES_MAX)).cast("int")
+    groups = cut(groups.select("component", tiles.alias("_tiles")), "groups")
+    wanted = cut(kinds.join(groups, "component").select("row", "node", "component", "_tiles"), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                sets = pa.array([shingle_set(t, STAGE_SHINGLE, STAGE_SEEDS[0]).tobytes() for t in part.column("text").to_pylist()], pa.binary())
+                names = ["node", "component", "_tiles"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), sets], [*names, "hashes"])
+
+    sets = arrow_map(texts.join(wanted, "row").select("text", "node", "component", "_tiles"), run, "node long, component long, _tiles int, hashes binary")
+    mine = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("_tiles")).cast("int")
+    tiled = sets.withColumn("_t", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    low, high = F.least("_t", "_o"), F.greatest("_t", "_o")
+    placed = tiled.select(
+        "node", "hashes", F.xxhash64("component", low, high).alias("_bucket"),
+        F.when(low == high, F.lit(2)).when(F.col("_t") == low, F.lit(0)).otherwise(F.lit(1)).alias("_side"),
+    )
+    arranged = placed.repartition("_bucket").sortWithinPartitions("_bucket", "node")
+    links = arrow_map(arranged, _verified, "u long, v long")
+    if not groups.where("_tiles > 1").limit(1).count():
+        return links
+    return components(links).select(F.col("root").alias("u"), F.col("node").alias("v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and _keep of each distinct id: kept is the smallest id of each group of near duplicates."""
-    prints = cut(fingerprints(docs, STAGE_SHINGLE, STAGE_SEEDS), "simhash")
-    found = cut(classes(prints, random_masks(STAGE_TABLES, STAGE_BITS, len(STAGE_SEEDS)), STAGE_RADIUS, STAGE_FIRST), "classes")
+    """doc_id and _keep of each distinct id: kept is the smallest id of each group of near duplicates.
+
+    Near fingerprints are candidates; a group is linked by Jaccard similarities of at least STAGE_LEAST
+    of the distinct shingles. Texts without words are copies of each other.
+    """
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    prints = cut(set_fingerprints(texts, STAGE_SHINGLE, STAGE_SEEDS), "simhash")
+    loose = cut(classes(prints, random_masks(STAGE_TABLES, STAGE_BITS, len(STAGE_SEEDS)), STAGE_RADIUS, STAGE_FIRST).drop("fp"), "classes")
+    roots = similar(texts.select("row", "text"), loose).select(F.col("u").alias("root"), F.col("v").alias("node"))
+    found = cut(loose.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component")), "similar")
     smallest = cut(found.groupBy("component").agg(F.min("doc_id").alias("_first")), "smallest")
     return (
         found.join(smallest, "component")

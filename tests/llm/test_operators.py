@@ -394,6 +394,50 @@ def test_stage_finds_near_duplicates(spark):
     assert set(range(60)) <= kept and len(kept) <= 68  # just above the least similarity most are found, not all
 
 
+def test_stage_links_only_what_is_similar(spark):
+    """Loose texts have near fingerprints by their repeated words or share half their shingles; no pair is similar."""
+    rng = random.Random(8)
+    base = prose(1, 200).split()
+    texts = [" ".join(w for w in prose(i, 12).split() for _ in range(100)) for i in range(20)]  # junk: repeated words
+    for _ in range(20):
+        words = list(base)
+        for k in rng.sample(range(200), 8):
+            words[k] = f"other{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [texts[20].replace(" ", "\n"), texts[21] + " more", "", None]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
+    drop = {j for i in range(44) for j in range(i + 1, 44) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    kept = {r["doc_id"] for r in simhash.near_duplicates(docs(spark, texts)).where("_keep").collect()}
+    assert drop == {40, 41, 43} and kept == set(range(44)) - drop
+
+
+@pytest.mark.parametrize("sets_max", [4096, 7])
+def test_similar_sets_in_one_task_and_in_tiles(spark, monkeypatch, sets_max):
+    monkeypatch.setattr(simhash, "SETS_MAX", sets_max)
+    rng = random.Random(9)
+    texts = []
+    for i in range(40):
+        words = prose(3, 120).split()
+        for k in rng.sample(range(120), rng.randrange(5)):
+            words[k] = f"x{i}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    ours = simhash.similar_sets([simhash.shingle_set(t, 5, 42) for t in texts], [2] * 40, (4, 5))
+    assert ours.tolist() == label
+    found = docs(spark, texts).select(F.col("doc_id").alias("row"), "text", F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"), F.lit(116).cast("long").alias("size"))
+    linked = list(range(40))
+    for r in simhash.similar(found.select("row", "text"), found.drop("text")).collect():
+        a, b = sorted((linked[r["u"]], linked[r["v"]]))
+        linked = [a if x == b else x for x in linked]
+    assert linked == label
+
+
 # --- 10 fingerprints ---------------------------------------------------------------------------------------
 
 
