@@ -15,12 +15,17 @@
    contexts are counted by a 128-bit hash, with partial sums before the shuffle.
 
 Spans found this way are merged in each document and cut out.
+
+The same search finds repeats of so many words: each word becomes six bytes (``word_codes``), and the
+windows are those of the codes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,9 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import arrow_map, cut, slices
 
 LENGTH, GRAM = 400, 64
+#: Words of the pipeline's passages, at least; bytes of a word's code and of so many codes without the outer punctuation.
+WORDS, CODE = 51, 6
+WORDS_LENGTH = WORDS * CODE - 2
 #: Different contexts of an anchor that are sorted together in one task.
 GROUP_MAX = 2048
 #: Bytes hashed at a time, and bytes sorted together.
@@ -41,6 +49,60 @@ _BYTE_HASH = np.random.default_rng(9).integers(0, 1 << 63, 256).astype(np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
 
+_PUNCTUATION = string.punctuation.encode()
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode()
+
+
+class _Codes(dict):
+    """The code of each word that was met: its punctuation before, 32 bits of the word's hash, its punctuation behind.
+
+    A byte of punctuation is 0 for none, the character itself for one and a hash above 127 for more.
+    """
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.MOST:
+            self.clear()
+        lead, core, trail = parts(word)
+        side = [p[0] if len(p) == 1 else p and 128 | xxhash.xxh32_intdigest(p) & 127 for p in (lead, trail)]
+        code = self[word] = bytes([side[0] or 0]) + xxhash.xxh3_64_digest(core)[:4] + bytes([side[1] or 0])
+        return code
+
+
+def parts(word: bytes) -> tuple[bytes, bytes, bytes]:
+    """A word's ASCII punctuation before, what is between, punctuation behind; nothing but punctuation is a word by itself."""
+    rest = word.lstrip(_PUNCTUATION)
+    core = rest.rstrip(_PUNCTUATION)
+    return (word[: len(word) - len(rest)], core, rest[len(core) :]) if core else (b"", word, b"")
+
+
+_CODES = _Codes()
+
+
+def word_codes(text: str | None) -> bytes:
+    """CODE bytes for each word; what separates words is left out."""
+    return b"".join([_CODES[w] for w in (text or "").encode().split()])
+
+
+def word_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Merged spans of codes as spans of a text's bytes: the whole words in them, WORDS at least, and the punctuation in them."""
+    words, out = [m.span() for m in _WORD.finditer(raw)], []
+    for lo, hi in spans:
+        first, last = -((1 - lo) // CODE), (hi - CODE + 1) // CODE  # whose hashes are in the span
+        if last - first + 1 < WORDS:
+            continue
+        a, b = words[first][0], words[last][1]
+        a += 0 if CODE * first >= lo else len(parts(raw[slice(*words[first])])[0])
+        b -= 0 if CODE * (last + 1) <= hi else len(parts(raw[slice(*words[last])])[2])
+        out.append((a, b))
+    return out
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each place, by doubling."""
     h, n = _BYTE_HASH[data], 1
@@ -52,36 +114,36 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor in concatenated texts (``starts``: their offsets and the end).
 
     Gives hash, text number, first and last window start (in ``data``) of each run. No window
     crosses texts. ``data`` has less than 2^20 bytes.
     """
     none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
+    if len(data) < length:
         return none.view(np.uint64), none, none, none
     h = gram_hashes(data)
     low = np.uint64((1 << _PLACE) - 1)
     key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
-    span, n = LENGTH - GRAM + 1, 1
+    span, n = length - GRAM + 1, 1
     while 2 * n <= span:
         key = np.minimum(key[:-n], key[n:])
         n *= 2
     if n < span:
-        key = np.minimum(key[: len(data) - LENGTH + 1], key[span - n :])
+        key = np.minimum(key[: len(data) - length + 1], key[span - n :])
     place = (low - (key & low)).astype(np.int64)
     change = np.zeros(len(place), bool)
     change[0] = True
     change[1:] = place[1:] != place[:-1]
     inner = starts[1:-1]
     change[inner[inner < len(place)]] = True
-    tails = np.maximum(starts[1:] - LENGTH + 1, starts[:-1])
+    tails = np.maximum(starts[1:] - length + 1, starts[:-1])
     change[tails[tails < len(place)]] = True
     first = np.flatnonzero(change)
     last = np.append(first[1:], len(place)) - 1
     text = np.searchsorted(starts, first, "right") - 1
-    whole = first + LENGTH <= starts[text + 1]
+    whole = first + length <= starts[text + 1]
     first, last, text = first[whole], last[whole], text[whole]
     return h[place[first]], text, first, last
 
@@ -89,37 +151,40 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 OCCURRENCES = "anchor long, context long, id long, version int, lo int, len int"
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_intdigest
-
-    def rows(parts: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch | None:
-        """parts: id, version, bytes, place of these bytes in the text."""
-        raw = b"".join(p for _, _, p, _ in parts)
-        starts = np.cumsum([0, *(len(p) for _, _, p, _ in parts)])
-        h, text, first, last = anchors(np.frombuffer(raw, np.uint8), starts)
-        if not len(h):
-            return None
-        context = np.array([digest(raw[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
-        of = lambda k: np.array([p[k] for p in parts], np.int64)[text]
-        columns = [h.view(np.int64), context.view(np.int64), of(0), of(1).astype(np.int32), (first - starts[text] + of(3)).astype(np.int32), (last - first + LENGTH).astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in OCCURRENCES.split(", ")])
+def _find_anchors(length: int, encode: Callable[[str | None], bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+
+        def rows(parts: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch | None:
+            """parts: id, version, bytes, place of these bytes in the text."""
+            raw = b"".join(p for _, _, p, _ in parts)
+            starts = np.cumsum([0, *(len(p) for _, _, p, _ in parts)])
+            h, text, first, last = anchors(np.frombuffer(raw, np.uint8), starts, length)
+            if not len(h):
+                return None
+            context = np.array([digest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
+            of = lambda k: np.array([p[k] for p in parts], np.int64)[text]
+            columns = [h.view(np.int64), context.view(np.int64), of(0), of(1).astype(np.int32), (first - starts[text] + of(3)).astype(np.int32), (last - first + length).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in OCCURRENCES.split(", ")])
 
-    for batch in batches:
-        parts, size = [], 0
-        for doc, version, text in zip(*(batch.column(n) for n in ("_id", "_version", "text")), strict=True):
-            raw = (text.as_py() or "").encode()
-            for at in range(0, max(1, len(raw) - LENGTH + 1), SLICE - LENGTH + 1):
-                piece = raw[at : at + SLICE]
-                if len(piece) < LENGTH:
-                    continue
-                parts.append((doc.as_py(), version.as_py(), piece, at))
-                size += len(piece)
-                if size >= SLICE:
-                    if found := rows(parts):
-                        yield found
-                    parts, size = [], 0
-        if parts and (found := rows(parts)):
-            yield found
+        for batch in batches:
+            parts, size = [], 0
+            for doc, version, text in zip(*(batch.column(n) for n in ("_id", "_version", "text")), strict=True):
+                raw = encode(text.as_py())
+                for at in range(0, max(1, len(raw) - length + 1), SLICE - length + 1):
+                    piece = raw[at : at + SLICE]
+                    if len(piece) < length:
+                        continue
+                    parts.append((doc.as_py(), version.as_py(), piece, at))
+                    size += len(piece)
+                    if size >= SLICE:
+                        if found := rows(parts):
+                            yield found
+                        parts, size = [], 0
+            if parts and (found := rows(parts)):
+                yield found
+
+    return run
 
 
 # --- the enhanced suffix array -------------------------------------------------------------------
@@ -221,64 +286,73 @@ def _scan(shared: list[int], left: list[int]) -> Iterator[tuple[int, int, int]]:
 COVERED = "id long, version int, lo int, hi int"
 
 
-def _scan_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor to the covered spans of those that occur once; an anchor's are never parted."""
-    waiting: list[tuple] = []
-    size = 0
+def _scan_groups(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts sorted by anchor to the covered spans of those that occur once; an anchor's are never parted."""
+        waiting: list[tuple] = []
+        size = 0
+
+        def covered(rows: list[tuple]) -> pa.RecordBatch | None:
+            best: dict[int, dict[int, int]] = {}
+            for shared, owner, place in maximal_repeats([r[1] for r in rows], length):
+                for o, p in zip(owner.tolist(), place.tolist(), strict=True):
+                    ends = best.setdefault(o, {})
+                    ends[p] = max(ends.get(p, 0), p + shared)
+            spans = [(*rows[o][2:4], rows[o][4] + p, rows[o][4] + e) for o, ends in best.items() if rows[o][5] == 1 for p, e in ends.items()]
+            if not spans:
+                return None
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*spans, strict=True), kinds, strict=True)], ["id", "version", "lo", "hi"])
 
-    def covered(rows: list[tuple]) -> pa.RecordBatch | None:
-        best: dict[int, dict[int, int]] = {}
-        for length, owner, place in maximal_repeats([r[1] for r in rows]):
-            for o, p in zip(owner.tolist(), place.tolist(), strict=True):
-                ends = best.setdefault(o, {})
-                ends[p] = max(ends.get(p, 0), p + length)
-        spans = [(*rows[o][2:4], rows[o][4] + p, rows[o][4] + e) for o, ends in best.items() if rows[o][5] == 1 for p, e in ends.items()]
-        if not spans:
-            return None
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*spans, strict=True), kinds, strict=True)], ["id", "version", "lo", "hi"])
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "data", "id", "version", "lo", "n")), strict=True):
+                if size >= CHUNK and row[0] != waiting[-1][0]:
+                    if found := covered(waiting):
+                        yield found
+                    waiting, size = [], 0
+                waiting.append(row)
+                size += len(row[1])
+        if waiting and (found := covered(waiting)):
+            yield found
 
-    for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "data", "id", "version", "lo", "n")), strict=True):
-            if size >= CHUNK and row[0] != waiting[-1][0]:
-                if found := covered(waiting):
-                    yield found
-                waiting, size = [], 0
-            waiting.append(row)
-            size += len(row[1])
-    if waiting and (found := covered(waiting)):
-        yield found
+    return run
 
 
 WINDOWS = "h1 long, h2 long, id long, version int, lo int, n long"
 
 
-def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the contexts of crowded anchors, by 128-bit hash."""
-    for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("data", "id", "version", "lo", "n")), strict=True):
-            data, doc, version, lo, n = row
-            count = len(data) - LENGTH + 1
-            h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[k : k + LENGTH]) for k in range(count)]), np.int64).reshape(-1, 2)
-            columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(count, doc)), pa.array(np.full(count, version, np.int32)),
-                       pa.array((lo + np.arange(count)).astype(np.int32)), pa.array(np.full(count, n, np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in WINDOWS.split(", ")])
+def _hash_windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every window of the contexts of crowded anchors, by 128-bit hash."""
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("data", "id", "version", "lo", "n")), strict=True):
+                data, doc, version, lo, n = row
+                count = len(data) - length + 1
+                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[k : k + length]) for k in range(count)]), np.int64).reshape(-1, 2)
+                columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(count, doc)), pa.array(np.full(count, version, np.int32)),
+                           pa.array((lo + np.arange(count)).astype(np.int32)), pa.array(np.full(count, n, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in WINDOWS.split(", ")])
+
+    return run
 
 
 CONTEXTS = "anchor long, data binary, id long, version int, lo int, n long"
 
 
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in slices(batch.column("text")):
-            part = batch.slice(a, b - a)
-            out = []
-            for doc, version, text, wanted in zip(*(part.column(n).to_pylist() for n in ("_id", "_version", "text", "_wanted")), strict=True):
-                raw = (text or "").encode()
-                out += [(w["anchor"], raw[w["lo"] : w["lo"] + w["len"]], doc, version, w["lo"], w["n"]) for w in wanted]
-            if out:
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in CONTEXTS.split(", ")])
+def _cut_contexts(encode: Callable[[str | None], bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                out = []
+                for doc, version, text, wanted in zip(*(part.column(n).to_pylist() for n in ("_id", "_version", "text", "_wanted")), strict=True):
+                    raw = encode(text)
+                    out += [(w["anchor"], raw[w["lo"] : w["lo"] + w["len"]], doc, version, w["lo"], w["n"]) for w in wanted]
+                if out:
+                    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in CONTEXTS.split(", ")])
+
+    return run
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -288,9 +362,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def covered_spans(base: DataFrame) -> DataFrame:
-    """id, version, spans (array of lo, hi; not merged yet) of the rows of ``base`` (see ``keyed``) with repeated bytes."""
-    found = cut(arrow_map(base.select("_id", "_version", "text"), _find_anchors, OCCURRENCES), "anchors")
+def covered_spans(base: DataFrame, length: int = LENGTH, encode: Callable[[str | None], bytes] = utf8) -> DataFrame:
+    """id, version, spans (array of lo, hi; not merged yet) of the rows of ``base`` (see ``keyed``) with repeated bytes.
+
+    Spans are places in the encoded text, repeats have ``length`` of its bytes at least.
+    """
+    found = cut(arrow_map(base.select("_id", "_version", "text"), _find_anchors(length, encode), OCCURRENCES), "anchors")
     several = (
         found.groupBy("anchor")
         .agg(F.count("*").alias("_n"), F.min("context").alias("_lo"), F.max("context").alias("_hi"))
@@ -312,13 +389,13 @@ def covered_spans(base: DataFrame) -> DataFrame:
     def contexts(some: DataFrame) -> DataFrame:
         """The bytes of some contexts. The texts' shuffle is the same here and where spans are cut out, so Spark reuses it."""
         lists = some.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_list("w").alias("_wanted"))
-        return arrow_map(base.join(lists.hint("shuffle_hash"), ["_id", "_version"]), _cut_contexts, CONTEXTS)
+        return arrow_map(base.join(lists.hint("shuffle_hash"), ["_id", "_version"]), _cut_contexts(encode), CONTEXTS)
 
     groups_of_few = contexts(wanted.where(F.col("_kinds") <= GROUP_MAX)).repartition("anchor").sortWithinPartitions("anchor")
-    scanned = arrow_map(groups_of_few, _scan_groups, COVERED)
-    windows = arrow_map(contexts(wanted.where(F.col("_kinds") > GROUP_MAX)), _hash_windows, WINDOWS)
+    scanned = arrow_map(groups_of_few, _scan_groups(length), COVERED)
+    windows = arrow_map(contexts(wanted.where(F.col("_kinds") > GROUP_MAX)), _hash_windows(length), WINDOWS)
     twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n")
-    crowded = windows.where("n = 1").join(twice, ["h1", "h2"], "left_semi").select("id", "version", "lo", (F.col("lo") + LENGTH).alias("hi"))
+    crowded = windows.where("n = 1").join(twice, ["h1", "h2"], "left_semi").select("id", "version", "lo", (F.col("lo") + length).alias("hi"))
     spans = whole.unionByName(copied).unionByName(scanned).unionByName(crowded)
     return spans.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
         F.collect_list(F.struct("lo", "hi")).alias("_spans")
@@ -383,8 +460,12 @@ def query(docs: DataFrame) -> DataFrame:
     return arrow_map(base.join(covered_spans(base).hint("shuffle_hash"), ["_id", "_version"], "left"), _digest, RESULT)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text`` (in whole characters); all columns and rows stay."""
+def remove_repeats(docs: DataFrame, words: bool = False) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of ``text`` (in whole characters); all columns and rows stay.
+
+    With ``words`` repeats of WORDS words go too, however few bytes they have. Their words and the
+    punctuation between them are the same; what separates them need not be.
+    """
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -393,12 +474,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
                 texts = []
-                for text, value in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True):
-                    if value:
+                for text, value, coded in zip(*(part.column(n).to_pylist() for n in ("text", "_spans", "_word_spans")), strict=True):
+                    if value or coded:
                         raw = text.encode()
-                        text = without(raw, on_characters(raw, _spans(value))).decode()
+                        spans = merge([*_spans(value), *word_spans(raw, _spans(coded))])
+                        text = without(raw, on_characters(raw, spans)).decode()
                     texts.append(text)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names], names)
 
     base = keyed(docs)
-    return arrow_map(base.join(covered_spans(base).hint("shuffle_hash"), ["_id", "_version"], "left"), run, schema)
+    found = base.join(covered_spans(base).hint("shuffle_hash"), ["_id", "_version"], "left")
+    if words:
+        coded = covered_spans(base, WORDS_LENGTH, word_codes).withColumnRenamed("_spans", "_word_spans")
+        found = found.join(coded.hint("shuffle_hash"), ["_id", "_version"], "left")
+    else:
+        found = found.withColumn("_word_spans", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
+    return arrow_map(found, run, schema)

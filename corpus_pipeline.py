@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages that repeat; those of which nothing is left go."""
-    left = repeats.remove_repeats(docs.select(*COLUMNS))
+    """All documents without the passages that repeat, of over 50 words or of 400 bytes; those of which nothing is left go."""
+    left = repeats.remove_repeats(docs.select(*COLUMNS), words=True)
     return left.where("n_chars = 0 OR text IS NULL OR text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -215,6 +215,51 @@ def test_text_stays_valid(spark):
     assert [r["text"] for r in left] == ["1a", "2b", "日" + prose(5, 20)]
 
 
+@pytest.mark.parametrize("words", [50, 51, 64])
+def test_passages_of_over_fifty_words(spark, words):
+    """Short words, so that the passage is far below 400 bytes; in the text, at its ends, with other separators and punctuation around."""
+    rng = random.Random(words)
+    passage = [rng.choice("abcdefgh") + str(rng.randrange(90)) + rng.choice([",", "", "", "."]) for _ in range(words - 1)] + ["end"]
+    plain, other = " ".join(passage), "\n ".join(passage)
+    texts = [prose(1, 70) + " " + plain + " " + prose(2, 70), prose(3, 40) + " (" + other + ") " + prose(4, 30), plain, prose(5, 90), "日本 " + plain + "! " + prose(6, 9), None, ""]
+    assert len(plain) < repeats.LENGTH
+    left = [r["text"] for r in repeats.remove_repeats(docs(spark, texts), words=True).orderBy("doc_id").collect()]
+    if words == 50:
+        assert left == texts
+    else:
+        assert left == [prose(1, 70) + "  " + prose(2, 70), prose(3, 40) + " () " + prose(4, 30), "", texts[3], "日本 ! " + prose(6, 9), None, ""]
+    assert [r["text"] for r in repeats.remove_repeats(docs(spark, texts)).orderBy("doc_id").collect()] == texts
+
+
+@pytest.mark.parametrize("group_max", [2048, 1])
+def test_word_passages_against_counting(spark, monkeypatch, group_max):
+    monkeypatch.setattr(repeats, "GROUP_MAX", group_max)
+    rng = random.Random(7)
+    pool = [prose(800 + i, 75).split() for i in range(4)]
+    texts = []
+    for i in range(30):
+        words = prose(i, rng.randrange(40)).split()
+        for _ in range(2):
+            a, p = rng.randrange(25), rng.choice(pool)
+            words += p[a : a + rng.randrange(45, 60)] + prose(100 * i + a + 3000, 5).split()
+        texts.append(" ".join(words))
+    windows = defaultdict(list)
+    for d, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - repeats.WORDS + 1):
+            windows[tuple(w[k : k + repeats.WORDS])].append((d, k))
+    gone = {(d, k + i) for places in windows.values() if len(places) > 1 for d, k in places for i in range(repeats.WORDS)}
+    base = repeats.keyed(docs(spark, texts))
+    found = {r["_id"]: repeats.merge([(s["lo"], s["hi"]) for s in r["_spans"]]) for r in repeats.covered_spans(base, repeats.WORDS_LENGTH, repeats.word_codes).collect()}
+    ours = set()
+    for d, spans in found.items():
+        raw = texts[d].encode()
+        for a, b in repeats.word_spans(raw, spans):
+            first = len(raw[:a].split())
+            ours |= {(d, first + i) for i in range(len(raw[a:b].split()))}
+    assert gone and ours == gone
+
+
 # --- 5 licenses ------------------------------------------------------------------------------------------
 
 
