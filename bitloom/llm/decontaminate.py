@@ -178,9 +178,14 @@ def block_max_wand(index: Index, query: set[int], threshold: float) -> list[tupl
 MATCHES = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, n_passages long, leaked boolean"
 
 
+def leaks(question: float, answer: float) -> bool:
+    return question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP
+
+
 def search(texts: list[str | None], index: Index, maxima: np.ndarray) -> list[list[tuple[int, float, float, float, int]]]:
     """Per text: (item number, best score, overlaps, passages) of all items that any of its passages retrieves.
 
+    The best passage is one that leaks, if there is one, then the one with the largest overlaps.
     First the sums of the maxima of ranges of items tell which passages can reach the threshold for
     any item; only these are searched.
     """
@@ -207,7 +212,7 @@ def search(texts: list[str | None], index: Index, maxima: np.ndarray) -> list[li
                     best[item] = [score, q, r, 1]
                 else:
                     was[3] += 1
-                    if (q + r, score) > (was[1] + was[2], was[0]):
+                    if (leaks(q, r), q + r, score) > (leaks(was[1], was[2]), was[1] + was[2], was[0]):
                         was[:3] = score, q, r
         out.append([(item, *found) for item, found in sorted(best.items())])
     return out
@@ -249,7 +254,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for a, b in slices(batch.column("text")):
                     part = batch.slice(a, b - a)
                     hits = search(part.column("text").to_pylist(), index, maxima)
-                    out = [(doc, index.items[i], s, q, r, n, q >= QUESTION_OVERLAP and r >= ANSWER_OVERLAP)
+                    out = [(doc, index.items[i], s, q, r, n, leaks(q, r))
                            for doc, of in zip(part.column("doc_id").to_pylist(), hits, strict=True) for i, s, q, r, n in of]
                     if out:
                         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())

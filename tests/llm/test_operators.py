@@ -105,6 +105,17 @@ def test_leaks_need_question_and_answer(spark):
     assert [(r["doc_id"], r["leaked"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(0, True), (1, False)]
 
 
+def test_a_leak_is_not_hidden_by_a_larger_overlap(spark):
+    """One passage has the whole question and half of the answer, another most of both: only the second leaks."""
+    question, answer = prose(41, 30).split(), [f"answer{i}" for i in range(8)]
+    bench = spark.createDataFrame([(5, " ".join(question) + ". " + " ".join(answer) + ".")], "item_id long, text string")
+    first, second = " ".join(question + answer[:4]), " ".join(question[:22] + answer[:6])
+    far = prose(43, 200)
+    rows = decontaminate.query(docs(spark, [f"{first} {far}", f"{first} {far} {second} {prose(44, 90)}", f"{second} {far} {first}"]), bench).orderBy("doc_id").collect()
+    assert [r["leaked"] for r in rows] == [False, True, True]
+    assert rows[0]["question_overlap"] == 1 and rows[1]["answer_overlap"] == 0.75
+
+
 # --- 2 URL filters -------------------------------------------------------------------------------------
 
 
