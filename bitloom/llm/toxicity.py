@@ -22,6 +22,8 @@ from bitloom.llm.common import arrow_map, fold_of, slices
 #: The classifier is fitted on at most so many labelled documents, and so many characters of text.
 MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 8000, 64 << 20
 BITS = 20
+#: What a whole text of any length counts for at most: its distinct features are 2^BITS and no more.
+MAX_TEXT_CHARS = 2 << BITS
 HELD_OUT_FOLDS = 5
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.5
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     )
     # at most MAX_TRAIN_ROWS rows of three numbers
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_order", F.xxhash64("text").alias("_same"), "_y", "text")
-    size = F.sum(F.length(F.coalesce("text", F.lit("")))).over(
+    size = F.sum(F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(MAX_TEXT_CHARS))).over(
         Window.partitionBy(F.lit(0)).orderBy("_order", "_same").rowsBetween(Window.unboundedPreceding, 0)
     )
     bounded = sample.withColumn("_size", size).where(F.col("_size") <= MAX_TRAIN_CHARS).limit(MAX_TRAIN_ROWS)

@@ -320,6 +320,20 @@ def test_scores_do_not_depend_on_the_batch():
     assert len(model.at) < 200
 
 
+def test_giant_texts_do_not_empty_the_sample(spark, monkeypatch):
+    """A labelled text beyond the sample's bound comes first in the order; the others still fit the model."""
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_CHARS", 1 << 18)
+    monkeypatch.setattr(toxicity, "MAX_TEXT_CHARS", 1 << 11, raising=False)
+    ids = spark.range(200).where(toxicity.fold_of(F.col("id"), toxicity.HELD_OUT_FOLDS) != 0)
+    first = ids.orderBy(F.xxhash64(F.lit(11), "id")).first()["id"]
+    texts = [prose(i, 40) + (" rotten villain" if i % 4 == 0 else "") for i in range(200)]
+    texts[first] += " " + prose(300, 40_000)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    rows = toxicity.query(docs(spark, texts), labels).where(F.col("doc_id") != first).collect()
+    assert len(texts[first]) > toxicity.MAX_TRAIN_CHARS
+    assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in rows]) > 0.97
+
+
 # --- 7 language --------------------------------------------------------------------------------------------
 
 
