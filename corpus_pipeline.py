@@ -29,14 +29,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that repeat, of over 50 words or of 400 bytes; those of which nothing is left go."""
-    left = repeats.remove_repeats(docs.select(*COLUMNS), words=True)
-    return left.where("n_chars = 0 OR text IS NULL OR text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    left = repeats.remove_repeats(docs.select(*COLUMNS, (F.col("text") == "").alias("_empty")), words=True)
+    return left.where("_empty OR text IS NULL OR text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified test item."""
-    leaks = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).where("leaked").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a verified test item; rows of one id go together, those without an id are told apart by their text."""
+    keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
+    found = decontaminate.matches(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = found.where("leaked").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(leaks, "_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

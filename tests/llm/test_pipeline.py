@@ -48,3 +48,16 @@ def test_stages_on_planted_documents(spark, tmp_path):
     assert seen["decontamination"] == seen["near_duplicates"] - {152}
     mixed = cp.STAGES[-1][1](spark, at, str(tmp_path))
     assert mixed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 3").count() == 0 and ids(mixed) <= seen["decontamination"]
+
+
+def test_rows_with_nulls(spark, tmp_path):
+    """An empty text stays whatever n_chars says; a leaked document without an id goes, clean ones without one stay."""
+    import corpus_pipeline as cp
+
+    item = prose(7000, 30) + ". " + prose(7001, 6) + "."
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, item + " " + prose(1, 40)), (None, prose(2, 80)), (1, item), (2, ""), (3, None), (4, prose(3, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], DOC)
+    as_set = lambda df: {(r["doc_id"], r["text"]) for r in df.collect()}
+    assert as_set(cp.cut_repeats(spark, docs, str(tmp_path))) == set(rows)
+    assert as_set(cp.drop_leaks(spark, docs, str(tmp_path))) == {rows[1], *rows[3:]}
