@@ -3,21 +3,25 @@
 1. Windows are dealt out by content. Each 400-byte window belongs to its rightmost minimal hash of a
    64-byte string in it (its anchor). The choice depends on the window's bytes alone, so equal
    windows have equal anchors. An anchor owns a run of window starts, whose bytes are its context.
-2. Anchors that occur once are done with. Contexts that occur twice, byte for byte, are covered as a
-   whole. What is left are anchors with several different contexts; each different context is
-   fetched once, however many documents have it.
+   What a document has several times is covered at once and counted, in one row.
+2. Anchors that occur once are done with. Contexts that occur twice are covered as a whole. What is
+   left are anchors with several different contexts; each different context is fetched once, however
+   many documents have it.
 3. For these an enhanced suffix array is built (rank doubling, longest common prefixes from the
    ranks). A stack scan walks the tree of common-prefix intervals; an interval of at least 400 bytes
    whose occurrences differ in the byte to their left is a maximal repeat, with all its occurrences.
    A class of equal windows with one and the same byte to their left is part of a longer repeat one
    byte earlier and needs no scan.
-4. Anchors with more different contexts than GROUP_MAX go another exact way: the windows of their
-   contexts are counted by a 128-bit hash, with partial sums before the shuffle.
+4. An anchor with more different contexts than one task should sort (GROUP_MAX) is divided first: a
+   window's distance to its anchor depends on its bytes too, so windows are parted by ranges of that
+   distance and by the bytes that all windows of a range share. Then steps 2 and 3 begin again, with
+   narrower ranges each time. Windows of one distance share all their bytes, so the last division
+   leaves groups of equal contexts and nothing to sort.
 
-Spans found this way are merged in each document and cut out.
+Anchors and contexts are compared by 64-bit hashes, in the suffix array symbol by symbol. Spans found
+this way are merged in each document and cut out.
 
-The same search finds repeats of so many words: each word becomes six bytes (``word_codes``), and the
-windows are those of the codes.
+The same search finds repeats of 51 words (WORDS): there a symbol is a word's 32-bit hash.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import hashlib
 import re
 import string
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,78 +40,99 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.common import arrow_map, cut, slices
 
-LENGTH, GRAM = 400, 64
-#: Words of the pipeline's passages, at least; bytes of a word's code and of so many codes without the outer punctuation.
-WORDS, CODE = 51, 6
-WORDS_LENGTH = WORDS * CODE - 2
-#: Different contexts of an anchor that are sorted together in one task.
-GROUP_MAX = 2048
-#: Bytes hashed at a time, and bytes sorted together.
+#: Different contexts of an anchor that are sorted together in one task; more are divided.
+GROUP_MAX = 8192
+#: Ranges of distances that a crowded anchor is divided into at a time.
+PARTS_OF = 8
+#: Symbols hashed at a time, and bytes sorted together.
 SLICE, CHUNK = 1 << 17, 1 << 19
 
 _PLACE = 20  # bits of an anchor's key that hold its place in a slice
-_BYTE_HASH = np.random.default_rng(9).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-
-
 _PUNCTUATION = string.punctuation.encode()
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def utf8(text: str | None) -> bytes:
-    return (text or "").encode()
-
-
 class _Codes(dict):
-    """The code of each word that was met: its punctuation before, 32 bits of the word's hash, its punctuation behind.
-
-    A byte of punctuation is 0 for none, the character itself for one and a hash above 127 for more.
-    """
+    """32 bits of the hash of each word that was met, without the ASCII punctuation at its ends."""
 
     MOST = 1 << 18
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        lead, core, trail = parts(word)
-        side = [p[0] if len(p) == 1 else p and 128 | xxhash.xxh32_intdigest(p) & 127 for p in (lead, trail)]
-        code = self[word] = bytes([side[0] or 0]) + xxhash.xxh3_64_digest(core)[:4] + bytes([side[1] or 0])
+        code = self[word] = xxhash.xxh3_64_intdigest(word.strip(_PUNCTUATION) or word) & 0xFFFFFFFF
         return code
 
 
-def parts(word: bytes) -> tuple[bytes, bytes, bytes]:
-    """A word's ASCII punctuation before, what is between, punctuation behind; nothing but punctuation is a word by itself."""
-    rest = word.lstrip(_PUNCTUATION)
-    core = rest.rstrip(_PUNCTUATION)
-    return (word[: len(word) - len(rest)], core, rest[len(core) :]) if core else (b"", word, b"")
+_CODES = _Codes()
 
 
-_CODES = _Codes()
+def text_bytes(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode(), np.uint8)
+
+
+def word_codes(text: str | None) -> np.ndarray:
+    """A code for each word; what separates words and the punctuation around them is left out."""
+    return np.array([_CODES[w] for w in (text or "").encode().split()], np.uint32)
+
 
+@dataclass(frozen=True)
+class Unit:
+    """What texts are cut into: symbols, their type, the least repeat, the length of an anchor's string."""
 
-def word_codes(text: str | None) -> bytes:
-    """CODE bytes for each word; what separates words is left out."""
-    return b"".join([_CODES[w] for w in (text or "").encode().split()])
+    encode: Callable[[str | None], np.ndarray]
+    dtype: type
+    least: int
+    gram: int
+    #: Symbols in the suffix array's first key, and their bits with one more for the end.
+    packed: int
+    bits: int
 
+    @property
+    def size(self) -> int:
+        return np.dtype(self.dtype).itemsize
 
-def word_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Merged spans of codes as spans of a text's bytes: the whole words in them, WORDS at least, and the punctuation in them."""
+    @property
+    def distances(self) -> int:
+        """How far an anchor may be from the start of its window, and one."""
+        return self.least - self.gram + 1
+
+    @property
+    def levels(self) -> list[int]:
+        """Symbols by which the suffix array's ranks are made; their sum is no less than a context."""
+        out = [self.packed]
+        while 2 * out[-1] <= self.least + self.distances:
+            out.append(2 * out[-1])
+        return out
+
+
+BYTES = Unit(text_bytes, np.uint8, 400, 64, 7, 9)
+WORDS = Unit(word_codes, np.uint32, 51, 8, 1, 33)
+
+
+def word_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Merged spans of words as spans of a text's bytes, without the punctuation at their ends, and their numbers of words."""
+    if not spans:
+        return []
     words, out = [m.span() for m in _WORD.finditer(raw)], []
     for lo, hi in spans:
-        first, last = -((1 - lo) // CODE), (hi - CODE + 1) // CODE  # whose hashes are in the span
-        if last - first + 1 < WORDS:
-            continue
-        a, b = words[first][0], words[last][1]
-        a += 0 if CODE * first >= lo else len(parts(raw[slice(*words[first])])[0])
-        b -= 0 if CODE * (last + 1) <= hi else len(parts(raw[slice(*words[last])])[2])
-        out.append((a, b))
+        (a, first_end), (last, b) = words[lo], words[hi - 1]
+        first_word, last_word = raw[a:first_end], raw[last:b]
+        if first_word.strip(_PUNCTUATION):
+            a += len(first_word) - len(first_word.lstrip(_PUNCTUATION))
+        if last_word.strip(_PUNCTUATION):
+            b -= len(last_word) - len(last_word.rstrip(_PUNCTUATION))
+        out.append((a, b, hi - lo))
     return out
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place, by doubling."""
-    h, n = _BYTE_HASH[data], 1
-    while n < GRAM:
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` (a power of two) symbols from each place, by doubling."""
+    h, n = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), 1
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    while n < gram:
         h = h[:-n] * np.uint64(pow(_BASE, n, 1 << 64)) + h[n:]
         n *= 2
     h ^= h >> np.uint64(31)
@@ -114,24 +140,24 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, starts: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor in concatenated texts (``starts``: their offsets and the end).
 
     Gives hash, text number, first and last window start (in ``data``) of each run. No window
-    crosses texts. ``data`` has less than 2^20 bytes.
+    crosses texts. ``data`` has less than 2^20 symbols.
     """
-    none = np.zeros(0, np.int64)
+    none, length = np.zeros(0, np.int64), unit.least
     if len(data) < length:
         return none.view(np.uint64), none, none, none
-    h = gram_hashes(data)
+    h = gram_hashes(data, unit.gram)
     low = np.uint64((1 << _PLACE) - 1)
     key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
-    span, n = length - GRAM + 1, 1
-    while 2 * n <= span:
+    n = 1
+    while 2 * n <= unit.distances:
         key = np.minimum(key[:-n], key[n:])
         n *= 2
-    if n < span:
-        key = np.minimum(key[: len(data) - length + 1], key[span - n :])
+    if n < unit.distances:
+        key = np.minimum(key[: len(data) - length + 1], key[unit.distances - n :])
     place = (low - (key & low)).astype(np.int64)
     change = np.zeros(len(place), bool)
     change[0] = True
@@ -148,63 +174,90 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple
     return h[place[first]], text, first, last
 
 
-OCCURRENCES = "anchor long, context long, id long, version int, lo int, len int"
+#: anchor and context: hashes; lo, len: the context's place; n: how often it is there. Without them: a covered span.
+OCCURRENCES = "anchor long, context long, id long, version int, lo int, len int, n long"
 
 
-def _find_anchors(length: int, encode: Callable[[str | None], bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    arrays = [pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, schema.split(", "), strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, _names(schema))
+
 
-        def rows(parts: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch | None:
-            """parts: id, version, bytes, place of these bytes in the text."""
-            raw = b"".join(p for _, _, p, _ in parts)
-            starts = np.cumsum([0, *(len(p) for _, _, p, _ in parts)])
-            h, text, first, last = anchors(np.frombuffer(raw, np.uint8), starts, length)
-            if not len(h):
-                return None
-            context = np.array([digest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
-            of = lambda k: np.array([p[k] for p in parts], np.int64)[text]
-            columns = [h.view(np.int64), context.view(np.int64), of(0), of(1).astype(np.int32), (first - starts[text] + of(3)).astype(np.int32), (last - first + length).astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in OCCURRENCES.split(", ")])
+def _find_anchors(unit: Unit):
+    def rows(parts: list[tuple[int, int, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+        """parts: id, version, symbols, place of these symbols in the text."""
+        data = np.concatenate([p for _, _, p, _ in parts])
+        raw, size, length = data.tobytes(), unit.size, unit.least
+        starts = np.cumsum([0, *(len(p) for _, _, p, _ in parts)])
+        h, text, first, last = anchors(data, starts, unit)
+        if not len(h):
+            return
+        digest = xxhash.xxh3_64_intdigest
+        context = np.array([digest(raw[a * size : (b + length) * size]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
+        number: dict[tuple, int] = {}
+        doc = np.array([number.setdefault(p[:2], len(number)) for p in parts])[text]
+        of = lambda k: np.array([p[k] for p in parts], np.int64)[text]
+        lo, n = first - starts[text] + of(3), last - first + length
+        order = np.lexsort((lo, h, context, doc))
+        same = (doc[order][1:] == doc[order][:-1]) & (context[order][1:] == context[order][:-1]) & (h[order][1:] == h[order][:-1])
+        begin = np.flatnonzero(np.concatenate([[True], ~same]))
+        count = np.diff(np.append(begin, len(order)))
+        one = order[begin]
+        columns = [h.view(np.int64)[one], context.view(np.int64)[one], of(0)[one], of(1)[one].astype(np.int32), lo[one].astype(np.int32), n[one].astype(np.int32), count]
+        yield _batch(columns, OCCURRENCES)
+        if len(one) < len(order):
+            again = np.sort(order[np.repeat(count > 1, count)])  # in the order of places
+            a, b, d = lo[again], lo[again] + n[again], doc[again]
+            # windows of one document follow each other, so spans that touch are one
+            fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])])
+            where = np.flatnonzero(fresh)
+            until = np.append(where[1:], len(again)) - 1
+            nothing = [None] * len(where)
+            spans = [nothing, nothing, of(0)[again][where], of(1)[again][where].astype(np.int32), a[where].astype(np.int32), (b[until] - a[where]).astype(np.int32), nothing]
+            yield _batch(spans, OCCURRENCES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = unit.least
         for batch in batches:
             parts, size = [], 0
             for doc, version, text in zip(*(batch.column(n) for n in ("_id", "_version", "text")), strict=True):
-                raw = encode(text.as_py())
-                for at in range(0, max(1, len(raw) - length + 1), SLICE - length + 1):
-                    piece = raw[at : at + SLICE]
+                data = unit.encode(text.as_py())
+                for at in range(0, max(1, len(data) - length + 1), SLICE - length + 1):
+                    piece = data[at : at + SLICE]
                     if len(piece) < length:
                         continue
                     parts.append((doc.as_py(), version.as_py(), piece, at))
                     size += len(piece)
                     if size >= SLICE:
-                        if found := rows(parts):
-                            yield found
+                        yield from rows(parts)
                         parts, size = [], 0
-            if parts and (found := rows(parts)):
-                yield found
+            if parts:
+                yield from rows(parts)
 
     return run
 
 
 # --- the enhanced suffix array -------------------------------------------------------------------
 
-_SYMBOLS = 7  # symbols of nine bits in the first key; 0 ends a string
-_LEVELS = (7, 14, 28, 56, 112, 224, 448)
-
 
-def suffix_ranks(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Symbols of the strings, each followed by _SYMBOLS ends; the strings' starts; ranks by their first 7, 14 ... symbols."""
+def suffix_ranks(strings: list[np.ndarray], unit: Unit) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Symbols of the strings, each followed by ends (0); the strings' starts; ranks by the symbols of each level."""
+    ends, bits = unit.packed, unit.bits
     lengths = np.array([len(s) for s in strings])
-    starts = np.cumsum([0, *(lengths[:-1] + _SYMBOLS)])
-    symbols = np.zeros(int(lengths.sum()) + _SYMBOLS * len(strings), np.int64)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(strings)) * _SYMBOLS, lengths)] = flat.astype(np.int64) + 1
+    starts = np.cumsum([0, *(lengths[:-1] + ends)])
+    symbols = np.zeros(int(lengths.sum()) + ends * len(strings), np.int64)
+    flat = np.concatenate(strings)
+    symbols[np.arange(len(flat)) + np.repeat(np.arange(len(strings)) * ends, lengths)] = flat.astype(np.int64) + 1
     key = np.zeros(len(symbols), np.int64)
-    for k in range(_SYMBOLS):
-        key[: len(symbols) - k] |= symbols[k:] << 9 * (_SYMBOLS - 1 - k)
+    for k in range(unit.packed):
+        key[: len(symbols) - k] |= symbols[k:] << bits * (unit.packed - 1 - k)
     ranks = []
-    for n in _LEVELS:
+    for n in unit.levels:
         if ranks:
             key = ranks[-1].astype(np.int64) << 32
             key[: len(symbols) - n // 2] |= ranks[-1][n // 2 :] + 1
@@ -216,43 +269,44 @@ def suffix_ranks(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.
     return symbols, starts, ranks
 
 
-def common_prefixes(symbols: np.ndarray, ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes a[i] and b[i], as far as strings go (under 2 * 448)."""
+def common_prefixes(symbols: np.ndarray, ranks: list[np.ndarray], unit: Unit, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes a[i] and b[i], as far as strings go."""
     n = len(symbols)
     length = np.zeros(len(a), np.int64)
-    for rank, step in zip(reversed(ranks), reversed(_LEVELS), strict=True):
+    for rank, step in zip(reversed(ranks), reversed(unit.levels), strict=True):
         x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
         length += step * ((rank[x] == rank[y]) & (a + length < n) & (b + length < n))
-    for _ in range(_SYMBOLS - 1):
+    for _ in range(unit.packed - 1):
         x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
         length += (symbols[x] == symbols[y]) & (a + length < n) & (b + length < n)
     return length
 
 
-def maximal_repeats(strings: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Maximal repeats of at least ``least`` bytes: length, string numbers and starts of all occurrences.
+def maximal_repeats(strings: list[np.ndarray], unit: Unit = BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Maximal repeats of at least ``unit.least`` symbols: length, string numbers and starts of all occurrences.
 
-    Strings must be shorter than 896 bytes. An occurrence at a string's start differs from any other
-    in the byte to its left.
+    Strings are no longer than contexts. An occurrence at a string's start differs from any other in
+    the symbol to its left.
     """
+    least = unit.least
     lengths = np.array([len(s) for s in strings])
     keep = lengths >= least
     if not keep.any():
         return
-    symbols, starts, ranks = suffix_ranks(strings)
+    symbols, starts, ranks = suffix_ranks(strings, unit)
     count = np.maximum(lengths - least + 1, 0)
     owner = np.repeat(np.arange(len(strings)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     suffix = starts[owner] + place
-    top = ranks[-1]
-    second = np.where(suffix + _LEVELS[-1] < len(symbols), top[np.minimum(suffix + _LEVELS[-1], len(symbols) - 1)].astype(np.int64) + 1, 0)
+    top, reach = ranks[-1], unit.levels[-1]
+    second = np.where(suffix + reach < len(symbols), top[np.minimum(suffix + reach, len(symbols) - 1)].astype(np.int64) + 1, 0)
     order = np.argsort(top[suffix].astype(np.int64) << 32 | second)
     suffix, owner, place = suffix[order], owner[order], place[order]
-    shared = common_prefixes(symbols, ranks, suffix[:-1], suffix[1:])
+    shared = common_prefixes(symbols, ranks, unit, suffix[:-1], suffix[1:])
     rest = lengths[owner] - place
     shared = np.minimum(shared, np.minimum(rest[:-1], rest[1:]))
     joined = np.concatenate([[False], shared >= least])
-    # the byte to the left; a string's start is unlike any other
+    # the symbol to the left; a string's start is unlike any other
     left = np.where(place > 0, symbols[suffix - 1], -1 - np.arange(len(suffix)))
     first = np.flatnonzero(~joined)
     size = np.diff(np.append(first, len(joined)))
@@ -265,8 +319,8 @@ def maximal_repeats(strings: list[bytes], least: int = LENGTH) -> Iterator[tuple
 def _scan(shared: list[int], left: list[int]) -> Iterator[tuple[int, int, int]]:
     """Stack scan of common-prefix intervals: (length, begin, end) of those that are left-diverse, inner ones first.
 
-    ``shared``: common prefixes of neighbours; ``left``: the byte before each suffix. A range of
-    suffixes has one and the same byte before them if no two neighbours in it differ.
+    ``shared``: common prefixes of neighbours; ``left``: the symbol before each suffix. A range of
+    suffixes has one and the same symbol before them if no two neighbours in it differ.
     """
     n = len(left)
     changes = [0]
@@ -286,7 +340,7 @@ def _scan(shared: list[int], left: list[int]) -> Iterator[tuple[int, int, int]]:
 COVERED = "id long, version int, lo int, hi int"
 
 
-def _scan_groups(length: int):
+def _scan_groups(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts sorted by anchor to the covered spans of those that occur once; an anchor's are never parted."""
         waiting: list[tuple] = []
@@ -294,15 +348,12 @@ def _scan_groups(length: int):
 
         def covered(rows: list[tuple]) -> pa.RecordBatch | None:
             best: dict[int, dict[int, int]] = {}
-            for shared, owner, place in maximal_repeats([r[1] for r in rows], length):
+            for shared, owner, place in maximal_repeats([np.frombuffer(r[1], unit.dtype) for r in rows], unit):
                 for o, p in zip(owner.tolist(), place.tolist(), strict=True):
                     ends = best.setdefault(o, {})
                     ends[p] = max(ends.get(p, 0), p + shared)
-            spans = [(*rows[o][2:4], rows[o][4] + p, rows[o][4] + e) for o, ends in best.items() if rows[o][5] == 1 for p, e in ends.items()]
-            if not spans:
-                return None
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*spans, strict=True), kinds, strict=True)], ["id", "version", "lo", "hi"])
+            spans = [(*rows[o][2:4], rows[o][4] + p, rows[o][4] + e) for o, ends in best.items() if rows[o][5] == 1 for p, e in merge(list(ends.items()))]
+            return _batch(list(zip(*spans, strict=True)), COVERED) if spans else None
 
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "data", "id", "version", "lo", "n")), strict=True):
@@ -318,39 +369,57 @@ def _scan_groups(length: int):
     return run
 
 
-WINDOWS = "h1 long, h2 long, id long, version int, lo int, n long"
+CONTEXTS = "anchor long, data binary, id long, version int, lo int, n long, place int, low int"
 
 
-def _hash_windows(length: int):
+def _cut_contexts(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every window of the contexts of crowded anchors, by 128-bit hash."""
+        """The symbols of the wanted contexts of each row, which is a text, or a context from the place ``_from`` on."""
+        size = unit.size
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("data", "id", "version", "lo", "n")), strict=True):
-                data, doc, version, lo, n = row
-                count = len(data) - length + 1
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[k : k + length]) for k in range(count)]), np.int64).reshape(-1, 2)
-                columns = [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(count, doc)), pa.array(np.full(count, version, np.int32)),
-                           pa.array((lo + np.arange(count)).astype(np.int32)), pa.array(np.full(count, n, np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in WINDOWS.split(", ")])
+            parted = "_from" in batch.schema.names
+            for a, b in slices(batch.column("text")):
+                part = batch.slice(a, b - a)
+                out = []
+                for doc, version, text, at, wanted in zip(*(part.column(n).to_pylist() for n in ("_id", "_version", "text", "_from" if parted else "_id", "_wanted")), strict=True):
+                    raw, at = (text, at) if parted else (unit.encode(text).tobytes(), 0)
+                    for w in wanted:
+                        lo = (w["lo"] - at) * size
+                        out.append((w["anchor"], raw[lo : lo + w["len"] * size], doc, version, w["lo"], w["n"], w["place"], w["low"]))
+                if out:
+                    yield _batch(list(zip(*out, strict=True)), CONTEXTS)
 
     return run
 
 
-CONTEXTS = "anchor long, data binary, id long, version int, lo int, n long"
+#: What divided contexts have besides OCCURRENCES: the place of the row whose bytes they are cut from, the anchor's
+#: place, and the least distance of their windows to it.
+PARTS = OCCURRENCES + ", _from int, place int, low int"
+
 
+def _divide(unit: Unit, width: int, before: int):
+    """CONTEXTS of windows at ``before`` distances from their anchors, to PARTS of ``width`` distances each."""
 
-def _cut_contexts(encode: Callable[[str | None], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, length, size = xxhash.xxh3_64_intdigest, unit.least, unit.size
         for batch in batches:
-            for a, b in slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                out = []
-                for doc, version, text, wanted in zip(*(part.column(n).to_pylist() for n in ("_id", "_version", "text", "_wanted")), strict=True):
-                    raw = encode(text)
-                    out += [(w["anchor"], raw[w["lo"] : w["lo"] + w["len"]], doc, version, w["lo"], w["n"]) for w in wanted]
-                if out:
-                    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in CONTEXTS.split(", ")])
+            out = []
+            for row in batch.to_pylist():
+                data, lo, place, low = row["data"], row["lo"], row["place"], row["low"]
+                if place < 0:  # not divided yet: the anchor is the last gram with its hash
+                    grams = gram_hashes(np.frombuffer(data, unit.dtype), unit.gram).view(np.int64)
+                    place, low = lo + int(np.flatnonzero(grams == row["anchor"])[-1]), 0
+                final = lo + len(data) // size - length
+                piece = lambda a, b: data[(a - lo) * size : (b - lo) * size]  # noqa: B023, E731
+                for near in range(low, min(low + before, unit.distances), width):
+                    far = min(near + width, low + before, unit.distances) - 1
+                    first, last = max(lo, place - far), min(final, place - near)
+                    if first <= last:
+                        shared, context = piece(place - near, place + length - far), piece(first, last + length)
+                        out.append((digest(shared, near), digest(context), row["id"], row["version"], first, len(context) // size, row["n"], lo, place, near))
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield _batch([*(np.array(c, np.uint64).view(np.int64) for c in columns[:2]), *columns[2:]], PARTS)
 
     return run
 
@@ -362,15 +431,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def covered_spans(base: DataFrame, length: int = LENGTH, encode: Callable[[str | None], bytes] = utf8) -> DataFrame:
-    """id, version, spans (array of lo, hi; not merged yet) of the rows of ``base`` (see ``keyed``) with repeated bytes.
+def _resolve(found: DataFrame, source: DataFrame, keys: list[str], unit: Unit) -> tuple[DataFrame, DataFrame | None]:
+    """Covered spans (COVERED) of the contexts in ``found`` (PARTS), and the contexts of crowded anchors (CONTEXTS), if there are any.
 
-    Spans are places in the encoded text, repeats have ``length`` of its bytes at least.
+    ``source`` has the symbols: _id, _version, text and, for divided contexts, _from; ``keys`` tell its rows apart.
     """
-    found = cut(arrow_map(base.select("_id", "_version", "text"), _find_anchors(length, encode), OCCURRENCES), "anchors")
     several = (
         found.groupBy("anchor")
-        .agg(F.count("*").alias("_n"), F.min("context").alias("_lo"), F.max("context").alias("_hi"))
+        .agg(F.sum("n").alias("_n"), F.min("context").alias("_lo"), F.max("context").alias("_hi"))
         .where("_n > 1")
         .select("anchor", (F.col("_lo") == F.col("_hi")).alias("same"))
     )
@@ -378,27 +446,45 @@ def covered_spans(base: DataFrame, length: int = LENGTH, encode: Callable[[str |
     again = cut(found.join(cut(several, "several"), "anchor"), "repeated")
     span = ["id", "version", "lo", (F.col("lo") + F.col("len")).alias("hi")]
     whole = again.where("same").select(*span)
-    mixed = again.where(~F.col("same")).drop("same")
-    kinds = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "lo", "len")).alias("_one"))
-    kinds = cut(kinds, "contexts")
+    mixed = again.where(~F.col("same"))
+    one = F.struct("id", "version", "lo", "len", "_from", "place", "low")
+    kinds = cut(mixed.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(one).alias("_one")), "contexts")
     copied = mixed.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(*span)
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("_kinds"), F.min("n").alias("_least")).where("_least = 1")
     groups = cut(groups, "groups")
-    wanted = kinds.join(groups, "anchor").select("_one.*", F.struct("anchor", "_one.lo", "_one.len", "n").alias("w"), "_kinds")
+    place = F.struct("anchor", "_one.lo", "_one.len", "n", "_one.place", "_one.low").alias("w")
+    wanted = kinds.join(groups, "anchor").select("_one.id", "_one.version", "_one._from", place, "_kinds")
 
     def contexts(some: DataFrame) -> DataFrame:
-        """The bytes of some contexts. The texts' shuffle is the same here and where spans are cut out, so Spark reuses it."""
-        lists = some.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_list("w").alias("_wanted"))
-        return arrow_map(base.join(lists.hint("shuffle_hash"), ["_id", "_version"]), _cut_contexts(encode), CONTEXTS)
-
-    groups_of_few = contexts(wanted.where(F.col("_kinds") <= GROUP_MAX)).repartition("anchor").sortWithinPartitions("anchor")
-    scanned = arrow_map(groups_of_few, _scan_groups(length), COVERED)
-    windows = arrow_map(contexts(wanted.where(F.col("_kinds") > GROUP_MAX)), _hash_windows(length), WINDOWS)
-    twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("_n")).where("_n > 1").drop("_n")
-    crowded = windows.where("n = 1").join(twice, ["h1", "h2"], "left_semi").select("id", "version", "lo", (F.col("lo") + length).alias("hi"))
-    spans = whole.unionByName(copied).unionByName(scanned).unionByName(crowded)
+        """The symbols of some contexts. The texts' shuffle is the same here and where spans are cut out, so Spark reuses it."""
+        lists = some.groupBy(*[F.col(k if k == "_from" else k[1:]).alias(k) for k in keys]).agg(F.collect_list("w").alias("_wanted"))
+        return arrow_map(source.join(lists.hint("shuffle_hash"), keys), _cut_contexts(unit), CONTEXTS)
+
+    few = contexts(wanted.where(F.col("_kinds") <= GROUP_MAX)).repartition("anchor").sortWithinPartitions("anchor")
+    spans = whole.unionByName(copied).unionByName(arrow_map(few, _scan_groups(unit), COVERED))
+    if not groups.where(F.col("_kinds") > GROUP_MAX).limit(1).count():
+        return spans, None
+    return spans, cut(contexts(wanted.where(F.col("_kinds") > GROUP_MAX)), "crowded")
+
+
+def covered_spans(base: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """_id, _version, _spans (array of lo, hi; not merged yet) of the rows of ``base`` (see ``keyed``) with repeated symbols.
+
+    Spans are places among the text's symbols, repeats have ``unit.least`` of them at least.
+    """
+    made = cut(arrow_map(base.select("_id", "_version", "text"), _find_anchors(unit), OCCURRENCES), "anchors")
+    inside = made.where("n IS NULL").select("id", "version", "lo", (F.col("lo") + F.col("len")).alias("hi"))
+    whole_texts = {"_from": F.lit(0), "place": F.lit(-1), "low": F.lit(0)}
+    spans, crowded = _resolve(made.where("n IS NOT NULL").withColumns(whole_texts), base, ["_id", "_version"], unit)
+    spans, before = spans.unionByName(inside), unit.distances
+    while crowded is not None:
+        width = -(-before // PARTS_OF)
+        source = crowded.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("lo").alias("_from"), F.col("data").alias("text"))
+        parts = cut(arrow_map(crowded, _divide(unit, width, before), PARTS), "parts")
+        more, crowded = _resolve(parts, source, ["_id", "_version", "_from"], unit)
+        spans, before = spans.unionByName(more), width
     return spans.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
-        F.collect_list(F.struct("lo", "hi")).alias("_spans")
+        F.collect_set(F.struct("lo", "hi")).alias("_spans")
     )
 
 
@@ -435,7 +521,7 @@ def _spans(value: list[dict] | None) -> list[tuple[int, int]]:
     return merge([(s["lo"], s["hi"]) for s in value or []])
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,28 +529,38 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(batch.column("text")):
             part = batch.slice(a, b - a)
             rows = []
-            for doc, text, value in zip(*(part.column(n).to_pylist() for n in ("doc_id", "text", "_spans")), strict=True):
+            for doc, text, value, coded in zip(*(part.column(n).to_pylist() for n in ("doc_id", "text", "_spans", "_word_spans")), strict=True):
                 raw, spans = (text or "").encode(), _spans(value)
-                rows.append((doc, len(raw), sum(hi - lo for lo, hi in spans), len(spans), hashlib.sha256(without(raw, spans)).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in RESULT.split(", ")])
+                passages = [n for _, _, n in word_spans(raw, _spans(coded))]
+                rows.append((doc, len(raw), sum(hi - lo for lo, hi in spans), len(spans), hashlib.sha256(without(raw, spans)).hexdigest(), len(passages), sum(passages)))
+            yield _batch(list(zip(*rows, strict=True)), RESULT)
+
+
+def with_spans(base: DataFrame, words: bool) -> DataFrame:
+    """``base`` (see ``keyed``) with _spans, of bytes, and with ``words`` also _word_spans, of words; null: none."""
+    found = base.join(covered_spans(base).hint("shuffle_hash"), ["_id", "_version"], "left")
+    if not words:
+        return found.withColumn("_word_spans", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
+    coded = covered_spans(base, WORDS).withColumnRenamed("_spans", "_word_spans")
+    return found.join(coded.hint("shuffle_hash"), ["_id", "_version"], "left")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; n_passages and passage_words besides.
 
     Null text is empty. Repeated rows are documents like any other, so their texts of 400 bytes and
-    more are removed. Null ids are kept apart by their text.
+    more are removed. Null ids are kept apart by their text. The last two are passages of 51 words
+    at least that occur elsewhere too, however few bytes they have, and the words in them; they are
+    reported, what is removed goes by bytes alone.
     """
-    base = keyed(docs.select("doc_id", "text"))
-    return arrow_map(base.join(covered_spans(base).hint("shuffle_hash"), ["_id", "_version"], "left"), _digest, RESULT)
+    return arrow_map(with_spans(keyed(docs.select("doc_id", "text")), words=True), _digest, RESULT)
 
 
 def remove_repeats(docs: DataFrame, words: bool = False) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text`` (in whole characters); all columns and rows stay.
 
-    With ``words`` repeats of WORDS words go too, however few bytes they have. Their words and the
-    punctuation between them are the same; what separates them need not be.
+    With ``words`` repeats of 51 words go too, however few bytes they have. Their words are the same
+    without the ASCII punctuation at their ends; white space and punctuation between them need not be.
     """
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -477,16 +573,9 @@ def remove_repeats(docs: DataFrame, words: bool = False) -> DataFrame:
                 for text, value, coded in zip(*(part.column(n).to_pylist() for n in ("text", "_spans", "_word_spans")), strict=True):
                     if value or coded:
                         raw = text.encode()
-                        spans = merge([*_spans(value), *word_spans(raw, _spans(coded))])
+                        spans = merge([*_spans(value), *((a, b) for a, b, _ in word_spans(raw, _spans(coded)))])
                         text = without(raw, on_characters(raw, spans)).decode()
                     texts.append(text)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names], names)
 
-    base = keyed(docs)
-    found = base.join(covered_spans(base).hint("shuffle_hash"), ["_id", "_version"], "left")
-    if words:
-        coded = covered_spans(base, WORDS_LENGTH, word_codes).withColumnRenamed("_spans", "_word_spans")
-        found = found.join(coded.hint("shuffle_hash"), ["_id", "_version"], "left")
-    else:
-        found = found.withColumn("_word_spans", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
-    return arrow_map(found, run, schema)
+    return arrow_map(with_spans(keyed(docs), words), run, schema)

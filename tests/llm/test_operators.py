@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from bitloom.llm import chat, decontaminate, digests, language, licenses, mixing, registry, repeats, simhash, toxicity, urls
+from bitloom.llm import chat, decontaminate, digests, graph, language, licenses, mixing, registry, repeats, simhash, toxicity, urls
 from bitloom.llm.common import table
 from tests.oracle import assert_same
 
@@ -182,13 +182,13 @@ def test_long_conversations_come_in_pieces(spark, monkeypatch):
 def covered(texts):
     places = defaultdict(list)
     for d, x in enumerate(texts):
-        for i in range(len(x) - repeats.LENGTH + 1):
-            places[x[i : i + repeats.LENGTH]].append((d, i))
+        for i in range(len(x) - repeats.BYTES.least + 1):
+            places[x[i : i + repeats.BYTES.least]].append((d, i))
     out = [bytearray(len(x)) for x in texts]
     for p in places.values():
         if len(p) > 1:
             for d, i in p:
-                out[d][i : i + repeats.LENGTH] = b"\1" * repeats.LENGTH
+                out[d][i : i + repeats.BYTES.least] = b"\1" * repeats.BYTES.least
     return out
 
 
@@ -199,9 +199,9 @@ def repeated_texts(seed, n=24):
     return [*texts, texts[0], "ab" * 600, "é" * 300, "x" + "é" * 300, "short"]
 
 
-@pytest.mark.parametrize("group_max", [2048, 2])
+@pytest.mark.parametrize("group_max", [8192, 2])
 def test_repeats_against_brute_force(spark, monkeypatch, group_max):
-    """With a small bound for groups most anchors go the other way, by hashes of windows."""
+    """With a small bound for groups most anchors are divided first, down to single distances."""
     monkeypatch.setattr(repeats, "GROUP_MAX", group_max)
     texts = repeated_texts(group_max)
     raw = [t.encode() for t in texts]
@@ -213,10 +213,19 @@ def test_repeats_against_brute_force(spark, monkeypatch, group_max):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(x), sum(marks), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_passages_are_reported_beside_the_bytes(spark):
+    """A passage of 51 words and under 400 bytes is not removed but reported, one of 50 words is neither."""
+    rng = random.Random(51)
+    passage = " ".join(rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(51))
+    texts = [prose(1, 40) + " " + passage, passage + " " + prose(2, 40), passage.split(" ", 1)[1], prose(3, 90), None]
+    rows = repeats.query(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["n_passages"], r["passage_words"], r["n_removed"]) for r in rows] == [(1, 51, 0), (1, 51, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+
+
 def test_maximal_repeats_have_all_occurrences():
     passage, other = prose(1, 90).encode(), prose(2, 90).encode()
     strings = [b"1" + passage[:500] + b"2", b"3" + passage[:500] + b"4", b"5" + passage[:500] + b"6" + b"pad" * 20, other[:520]]
-    found = [(n, sorted(zip(o.tolist(), p.tolist(), strict=True))) for n, o, p in repeats.maximal_repeats(strings)]
+    found = [(n, sorted(zip(o.tolist(), p.tolist(), strict=True))) for n, o, p in repeats.maximal_repeats([np.frombuffer(x, np.uint8) for x in strings])]
     assert found == [(500, [(0, 1), (1, 1), (2, 1)])]
 
 
@@ -233,7 +242,7 @@ def test_passages_of_over_fifty_words(spark, words):
     passage = [rng.choice("abcdefgh") + str(rng.randrange(90)) + rng.choice([",", "", "", "."]) for _ in range(words - 1)] + ["end"]
     plain, other = " ".join(passage), "\n ".join(passage)
     texts = [prose(1, 70) + " " + plain + " " + prose(2, 70), prose(3, 40) + " (" + other + ") " + prose(4, 30), plain, prose(5, 90), "日本 " + plain + "! " + prose(6, 9), None, ""]
-    assert len(plain) < repeats.LENGTH
+    assert len(plain) < repeats.BYTES.least
     left = [r["text"] for r in repeats.remove_repeats(docs(spark, texts), words=True).orderBy("doc_id").collect()]
     if words == 50:
         assert left == texts
@@ -242,7 +251,7 @@ def test_passages_of_over_fifty_words(spark, words):
     assert [r["text"] for r in repeats.remove_repeats(docs(spark, texts)).orderBy("doc_id").collect()] == texts
 
 
-@pytest.mark.parametrize("group_max", [2048, 1])
+@pytest.mark.parametrize("group_max", [8192, 1])
 def test_word_passages_against_counting(spark, monkeypatch, group_max):
     monkeypatch.setattr(repeats, "GROUP_MAX", group_max)
     rng = random.Random(7)
@@ -257,15 +266,15 @@ def test_word_passages_against_counting(spark, monkeypatch, group_max):
     windows = defaultdict(list)
     for d, t in enumerate(texts):
         w = t.split()
-        for k in range(len(w) - repeats.WORDS + 1):
-            windows[tuple(w[k : k + repeats.WORDS])].append((d, k))
-    gone = {(d, k + i) for places in windows.values() if len(places) > 1 for d, k in places for i in range(repeats.WORDS)}
+        for k in range(len(w) - repeats.WORDS.least + 1):
+            windows[tuple(w[k : k + repeats.WORDS.least])].append((d, k))
+    gone = {(d, k + i) for places in windows.values() if len(places) > 1 for d, k in places for i in range(repeats.WORDS.least)}
     base = repeats.keyed(docs(spark, texts))
-    found = {r["_id"]: repeats.merge([(s["lo"], s["hi"]) for s in r["_spans"]]) for r in repeats.covered_spans(base, repeats.WORDS_LENGTH, repeats.word_codes).collect()}
+    found = {r["_id"]: repeats.merge([(s["lo"], s["hi"]) for s in r["_spans"]]) for r in repeats.covered_spans(base, repeats.WORDS).collect()}
     ours = set()
     for d, spans in found.items():
         raw = texts[d].encode()
-        for a, b in repeats.word_spans(raw, spans):
+        for a, b, _ in repeats.word_spans(raw, spans):
             first = len(raw[:a].split())
             ours |= {(d, first + i) for i in range(len(raw[a:b].split()))}
     assert gone and ours == gone
@@ -395,6 +404,35 @@ def test_mix_is_near_its_targets_and_repeatable(spark):
     assert mixing.emit(mixing.mix(df)).count() == int((found["taken"] / found["size"]).sum())
 
 
+# --- components ----------------------------------------------------------------------------------------------
+
+
+def rooted(edges):
+    root = {}
+    for u, v in edges:
+        root.setdefault(u, u), root.setdefault(v, v)
+    changed = True
+    while changed:
+        changed = False
+        for u, v in edges:
+            low = min(root[u], root[v])
+            changed |= root[u] != low or root[v] != low
+            root[u] = root[v] = low
+    return root
+
+
+def test_components_against_relabelling(spark):
+    rng = random.Random(4)
+    path = [(i, i + 1) for i in range(60)]
+    mixed = [(i, i + 1) for i in rng.sample(range(200, 300), 100)]
+    star = [(500, 510 + i) for i in range(20)] + [(999, 600 + i) for i in range(20)]
+    loose = [(1000 + rng.randrange(80), 1000 + rng.randrange(80)) for _ in range(50)]
+    edges = path + mixed + star + loose + [(-5, -5), (-3, -4), (-4, -3), (7, 6)]
+    found = graph.components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r["node"]: r["root"] for r in found.collect()} == rooted(edges)
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 # --- 9 SimHash ---------------------------------------------------------------------------------------------
 
 
