@@ -8,32 +8,52 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import cut, drop_table
 
 
+def _some(rows: DataFrame) -> bool:
+    return bool(rows.limit(1).count())
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(node, root): every node's smallest neighbour, if smaller than itself, followed to its end.
+
+    Each pointer leads to a smaller node, so they form trees; a step doubles how far a pointer reaches.
+    """
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    stars = cut(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")), "stars")
+    while True:
+        above = stars.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
+        further = stars.join(above, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        after = cut(further, "stars")
+        moved = _some(after.where("moved"))
+        drop_table(stars)
+        stars = after
+        if not moved:
+            return stars.select("node", "root")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected edge table (u, v): root is the smallest node reachable.
 
-    Rounds of two steps: every node takes the smallest label of its neighbours and itself, then the
-    label of its label, which halves the distance to the root. The labels are written to the shared
-    folder after each round, so a lost executor costs one round at most. Minima are aggregated
-    before they are shuffled, so a node with very many neighbours is no hot spot. Self-loops and
-    repeated edges do no harm; an empty table gives an empty one.
+    In each round the nodes gather in trees (``_stars``) and every tree becomes one node: edges are
+    renamed, those within a tree and repeated ones go. So a round's joins take what is left, not all
+    edges again. Minima are aggregated before they are shuffled, so a node with very many neighbours is
+    no hot spot. All tables are in the shared folder; a lost executor costs one step at most.
+    Self-loops and repeated edges do no harm; nodes with nothing but self-loops are their own roots. An
+    empty table gives an empty one.
     """
-    both = cut(
-        edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges"
-    )
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("root")), "labels")
-    while True:
-        seen = (
-            both.join(labels.withColumnRenamed("node", "v"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("root").alias("near"))
-        )
-        lowered = labels.join(seen, "node").select("node", F.least("root", "near").alias("to"), F.col("root").alias("was"))
-        jumped = lowered.join(labels.select(F.col("node").alias("to"), F.col("root").alias("next")), "to").select(
-            "node", F.least("to", "next").alias("root"), "was"
-        )
-        after = cut(jumped, "labels")
-        changed = after.where(F.col("root") != F.col("was")).limit(1).count()
-        drop_table(labels)
-        labels = after
-        if not changed:
-            return labels.select("node", "root")
+    low, high = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    edges = cut(edges.select(low, high).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not rounds or _some(edges):
+        stars = _stars(edges)
+        rounds.append(stars)
+        of = lambda end, name: stars.select(F.col("node").alias(end), F.col("root").alias(name))
+        renamed = edges.where("u <> v").join(of("u", "_u"), "u").join(of("v", "_v"), "v").where("_u <> _v")
+        after = cut(renamed.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct(), "edges")
+        drop_table(edges)
+        edges = after
+    # a root of one round may be a node of the next
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+        found = rounds.pop().join(later, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return found
