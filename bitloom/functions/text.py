@@ -1,14 +1,16 @@
-"""Scalar text functions as Column expressions; Arrow UDFs only where no built-in exists."""
+"""Scalar text functions as Column expressions; Arrow UDFs only where no built-in exists.
+
+UDFs are made where they are used: one that was used once holds on to the JVM, and tasks carry this
+module with them (see the package).
+"""
 
 from __future__ import annotations
 
 import re
-import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Code point ranges, which differ from use to use on purpose.
 JAPANESE = r"[\x{3040}-\x{30FF}\x{FF66}-\x{FF9D}\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}]"
@@ -21,15 +23,17 @@ TERMINATORS = "。！？!?"
 OPENERS, CLOSERS = "「『（(〈《【〔", "」』）)〉》】〕"
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
-
-
 def nfkc(text: Column) -> Column:
     """NFKC; ASCII text, which it never changes, is handed to the UDF as null."""
+
+    @F.arrow_udf("string")
+    def normalized(texts: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        return pc.utf8_normalize(texts, form="NFKC")
+
     ascii_only = text.rlike(r"^[\x00-\x7F]*$")
-    return F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text)))
+    return F.when(ascii_only, text).otherwise(normalized(F.when(~ascii_only, text)))
 
 
 def strip(text: Column) -> Column:
@@ -96,9 +100,12 @@ def sentences_of(paragraph: str) -> list[str]:
     return [s for s in map(str.strip, found) if s]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_sentences(paragraphs: pd.Series) -> pd.Series:
-    return paragraphs.map(lambda p: None if p is None else sentences_of(p))
+def split_sentences(paragraph: Column) -> Column:
+    @F.arrow_udf("array<string>")
+    def cut(paragraphs: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else sentences_of(p) for p in paragraphs.to_pylist()], pa.list_(pa.string()))
+
+    return cut(paragraph)
 
 
 def contains_reserved(text: Column) -> Column:
@@ -115,8 +122,7 @@ def kanji_runs(text: Column) -> Column:
 
 
 def kata_to_hira(text: Column) -> Column:
-    kata = "".join(map(chr, range(0x30A1, 0x30F7)))
-    return F.translate(text, kata, "".join(chr(ord(c) - 0x60) for c in kata))
+    return F.translate(text, _KATAKANA, _KATAKANA.translate(_HIRAGANA))
 
 
 def ruby_segments(surface: Column) -> Column:
@@ -124,25 +130,26 @@ def ruby_segments(surface: Column) -> Column:
     return F.regexp_extract_all(surface, F.lit(f"[{RUBY_KANJI}]+|[^{RUBY_KANJI}]+"), F.lit(0))
 
 
-_KANJI = re.compile("[一-鿿々]+")
+_KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
+_HIRAGANA = {ord(c): ord(c) - 0x60 for c in _KATAKANA}
+_RUNS = re.compile("([一-鿿々]+)")
 
 
 def ruby_of(surface: str, reading: str) -> list[str] | None:
     """Readings of the kanji runs, aligned so that the kana between them match; [] without kanji, None if they don't align."""
-    hira = lambda s: "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in s)
-    if not _KANJI.search(surface):
+    kana = _RUNS.split(surface.translate(_HIRAGANA))  # kana and kanji by turns
+    if len(kana) == 1:
         return []
-    pattern, at = "", 0
-    for run in _KANJI.finditer(surface):
-        pattern += re.escape(hira(surface[at : run.start()])) + "(.+?)"
-        at = run.end()
-    match = re.fullmatch(pattern + re.escape(hira(surface[at:])), hira(reading))
+    match = re.fullmatch("(.+?)".join(map(re.escape, kana[::2])), reading.translate(_HIRAGANA))
     return list(match.groups()) if match else None
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def align_ruby(surface: pd.Series, reading: pd.Series) -> pd.Series:
-    return pd.Series([ruby_of(s or "", r or "") for s, r in zip(surface, reading, strict=True)], dtype=object)
+def align_ruby(surface: Column, reading: Column) -> Column:
+    @F.arrow_udf("array<string>")
+    def align(surfaces: pa.Array, readings: pa.Array) -> pa.Array:
+        return pa.array([ruby_of(s or "", r or "") for s, r in zip(surfaces.to_pylist(), readings.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return align(surface, reading)
 
 
 # The closed set of tags, and dictionary categories by tag.

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bitloom.functions import text as tx
 from bitloom.plans import jobs
 from bitloom.sources import stores
 
@@ -36,6 +37,8 @@ def test_patience():
 
 
 def test_teacher_and_usage(spark):
+    # a UDF that was used before must not go along with a task that names a module of the package
+    spark.range(1).select(tx.normalize_text(F.lit("ａ")), tx.split_sentences(F.lit("a。b")), tx.align_ruby(F.lit("漢"), F.lit("かん"))).collect()
     rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "i long, text string")
 
     def call(text, effort):
