@@ -90,8 +90,10 @@ def funnel_stages(
 
     Duplicates are judged among pairs that pass the cheap filters, over all sources, and before
     language identification: the first in order survives, even if that check drops it later. The
-    only shuffle is the one by duplicate key; its first row per key comes from a partial aggregate,
-    so a key that a large share of the rows have doesn't gather them in one task.
+    first row of each key comes from a partial aggregate, so a key that a large share of the rows have
+    doesn't gather them in one task; in the join AQE splits it. A pair that is rejected before gets a
+    key of its own, which nothing meets: it is dealt out evenly, and its normalization isn't repeated
+    in a branch of its own. Only digests and orders go into the aggregate.
     """
     cfg = cfg or FilterConfig()
     staged = (
@@ -101,12 +103,14 @@ def funnel_stages(
         .withColumn("stage", cheap_stage(F.col("ja"), F.col("en"), cfg))
     )
     keyed = staged.withColumn("_key", F.when(F.col("stage").isNull(), key_digest(F.col("ja"), F.col("en"))))
-    first = (
-        keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min(F.struct(*ORDER)).alias("_first")).withColumnRenamed("_key", "_k")
-    )
-    joined = keyed.join(first, keyed["_key"] == first["_k"], "left")
-    repeated = F.col("_key").isNotNull() & (F.struct(*ORDER) != F.col("_first"))
-    judged = joined.withColumn("stage", F.when(repeated, "dedup").otherwise(F.col("stage"))).drop("_key", "_k", "_first")
+    # rejected pairs are one null group here; asking for it after the aggregate keeps the filters from being evaluated twice
+    found = keyed.groupBy("_key").agg(F.min(F.struct(*ORDER)).alias("_first"), F.count("_key").alias("_n")).where("_n > 0")
+    first = found.select(F.col("_key").alias("_k"), "_first")
+    own = F.coalesce(F.col("_key"), F.concat(F.lit("-"), F.xxhash64(*ORDER).cast("string")))
+    # null-safe, although no key is null: of a plain equation Spark makes a filter by key, below the aggregate
+    joined = keyed.withColumn("_own", own).join(first, F.col("_own").eqNullSafe(F.col("_k")), "left")
+    repeated = F.col("_first").isNotNull() & (F.struct(*ORDER) != F.col("_first"))
+    judged = joined.withColumn("stage", F.when(repeated, "dedup").otherwise(F.col("stage"))).drop("_key", "_own", "_k", "_first")
     return langid_stage(judged, predict, langid or LangIDConfig()) if predict is not None else judged
 
 

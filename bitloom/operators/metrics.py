@@ -2,39 +2,67 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHRF_ORDER, CHRF_BETA, BLEU_ORDER = 6, 2.0, 4
+#: Units (characters or tokens) that are counted together.
+PORTION = 1 << 21
 
 
-def ngram_stats(hyp: Sequence, ref: Sequence, order: int) -> list[int]:
-    """Of each order n-grams of hyp, of ref, and clipped matches, of two strings or lists of tokens."""
-    out = []
+def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Numbers of the units of all texts, units in each text, and a bound of the numbers."""
+    if pa.types.is_list(texts.type):
+        found = pc.dictionary_encode(texts.flatten())
+        return found.indices.to_numpy().astype(np.int64), pc.list_value_length(texts).to_numpy().astype(np.int64), len(found.dictionary) + 1
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    return points.astype(np.int64), pc.utf8_length(texts).to_numpy().astype(np.int64), 0x110000
+
+
+def ngram_sums(hyp: pa.Array, ref: pa.Array, order: int) -> list[int]:
+    """Of each order n-grams of hyp, of ref, and clipped matches, summed over pairs of texts (strings or lists of tokens).
+
+    An n-gram's number is the rank of its first n - 1 units' number and its last unit; the first
+    numbers tell the pairs apart, so an n-gram only meets those of its own pair.
+    """
+    units, lengths, bound = _units(pa.concat_arrays([hyp, ref]))
+    pairs, texts = len(hyp), np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(units))  # units up to the text's end
+    number, sums = texts % pairs, []
     for n in range(1, order + 1):
-        grams = [Counter(zip(*(x[k:] for k in range(n)), strict=False)) if not isinstance(x, str) else Counter(x[k : k + n] for k in range(len(x) - n + 1)) for x in (hyp, ref)]
-        out += [grams[0].total(), grams[1].total(), (grams[0] & grams[1]).total()]
-    return out
+        begin = np.flatnonzero(left >= n)
+        _, ranks = np.unique(number[begin] * bound + units[begin + n - 1], return_inverse=True)
+        number[begin] = ranks
+        kinds, said = int(ranks.max()) + 1 if len(ranks) else 0, texts[begin] < pairs
+        ours, theirs = np.bincount(ranks[said], minlength=kinds), np.bincount(ranks[~said], minlength=kinds)
+        sums += [int(ours.sum()), int(theirs.sum()), int(np.minimum(ours, theirs).sum())]
+    return sums
 
 
 def _matches(pairs: DataFrame, units: Callable[[Column], Column], order: int) -> DataFrame:
     """Per order: hyp and ref n-grams and clipped matches over the corpus.
 
-    The counts of a sentence pair are made where the pair is, so no n-gram is shuffled: a task sends
-    three sums for each order.
+    The counts of a pair are made where the pair is, so no n-gram is shuffled: a task sends three sums
+    for each order and portion.
     """
 
-    @F.pandas_udf("array<long>")
-    def run(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        plain = lambda x: x if isinstance(x, str) else list(x)
-        return pd.Series([ngram_stats(plain(h), plain(r), order) for h, r in zip(hyp, ref, strict=True)], dtype=object)
-
-    said = lambda c: units(F.coalesce(F.col(c), F.lit("")))
-    stats = pairs.select(run(said("hyp"), said("ref")).alias("s"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hyp, ref = batch.column(0), batch.column(1)
+            size = (lambda x: pc.list_value_length(x)) if pa.types.is_list(hyp.type) else pc.utf8_length
+            ends, at = np.cumsum(size(hyp).to_numpy().astype(np.int64) + size(ref).to_numpy()), 0
+            while at < batch.num_rows:
+                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+                yield pa.RecordBatch.from_arrays([pa.array([ngram_sums(hyp.slice(at, until - at), ref.slice(at, until - at), order)], pa.list_(pa.int64()))], ["s"])
+                at = until
+
+    said = lambda c: units(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    stats = pairs.select(said("hyp"), said("ref")).mapInArrow(run, "s array<long>")
     sums = stats.agg(*[F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(3 * order)])
     rows = F.array(*[F.struct(F.lit(n + 1).alias("n"), *[F.coalesce(f"s{3 * n + k}", F.lit(0)).alias(name) for k, name in enumerate(("hyp", "ref", "hit"))]) for n in range(order)])
     return sums.select(F.explode(rows).alias("x")).select("x.*")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ SPECIALS = [("PAD", None), ("BOS", None), ("EOS", None), ("HEADER", an.HEADER),
 PAD, BOS, EOS = 0, 1, 2
 OFFSET, BYTES = len(SPECIALS), 256
 VERSION = 1
+#: Different pre-tokens that the driver takes to find merges.
+MOST_WORDS = 20_000_000
 
 _HAN, _HIRA, _KATA = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}", r"\x{3040}-\x{309F}", r"\x{30A0}-\x{30FF}\x{FF66}-\x{FF9D}"
 #: Runs of one script; the last space before Latin letters or digits belongs to them.
@@ -54,41 +57,67 @@ def pair_counts(words: DataFrame) -> DataFrame:
 def train_merges(freqs: dict[bytes, int], count: int) -> list[Pair]:
     """``count`` merges, or as many as there are: each the most frequent adjacent pair, of equals the smallest.
 
-    A heap holds each pair with the count it had when it was pushed; an entry whose count is out of
-    date is dropped when it comes up, because every change pushes a new one.
+    All words lie in one array of symbols, linked to their neighbours within the word. A merge looks
+    up the places of its pair, joins them all at once and recounts the pairs that begin at or before
+    them. A heap holds each pair with a count it had; an entry whose count is out of date is dropped.
     """
-    words = [list(w) for w in freqs]
-    weight = list(freqs.values())
-    counts: Counter[Pair] = Counter()
-    where: defaultdict[Pair, set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for pair in zip(w, w[1:], strict=False):
-            counts[pair] += weight[i]
-            where[pair].add(i)
-    heap = [(-n, pair) for pair, n in counts.items()]
-    heapq.heapify(heap)
+    words = [w for w in freqs if w]
+    symbol = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    lengths = np.array([len(w) for w in words], np.int64)
+    weight = np.repeat(np.array([freqs[w] for w in words], np.int64), lengths)
+    following, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+    ends = np.cumsum(lengths)
+    following[ends - 1] = -1
+    before[ends - lengths] = -1
+
+    def keys(places: np.ndarray) -> np.ndarray:
+        return symbol[places] << 32 | symbol[following[places]]
+
+    places_of: defaultdict[int, list[np.ndarray]] = defaultdict(list)
+    counts: dict[int, int] = {}
+    heap: list[tuple[int, int]] = []
+
+    def recount(gone: np.ndarray, gone_keys: np.ndarray, come: np.ndarray) -> None:
+        """Pairs that begin at ``gone`` were there, those that begin at ``come`` are now."""
+        come_keys = keys(come)
+        changed, which = np.unique(np.concatenate([gone_keys, come_keys]), return_inverse=True)
+        by = np.zeros(len(changed), np.int64)
+        np.add.at(by, which, np.concatenate([-weight[gone], weight[come]]))
+        for key, n in zip(changed[by != 0].tolist(), by[by != 0].tolist(), strict=True):
+            counts[key] = counts.get(key, 0) + n
+            if counts[key] > 0:
+                heapq.heappush(heap, (-counts[key], key))
+        order = np.argsort(come_keys, kind="stable")
+        arranged = come_keys[order]
+        cuts = np.flatnonzero(arranged[1:] != arranged[:-1]) + 1
+        for part in np.split(come[order], cuts) if len(order) else []:
+            places_of[int(keys(part[:1])[0])].append(part)
+
+    none = np.zeros(0, np.int64)
+    recount(none, none, np.flatnonzero(following >= 0))
     merges: list[Pair] = []
     while heap and len(merges) < count:
         n, best = heapq.heappop(heap)
-        if counts.get(best, 0) != -n or not n:
+        if counts.get(best, 0) != -n:
             continue
-        new = BYTES + len(merges)
-        merges.append(best)
-        changed: Counter[Pair] = Counter()
-        for i in where.pop(best):
-            w = words[i]
-            for pair in zip(w, w[1:], strict=False):
-                changed[pair] -= weight[i]
-            words[i] = w = merged(w, best, new)
-            for pair in zip(w, w[1:], strict=False):
-                changed[pair] += weight[i]
-                where[pair].add(i)
-        for pair, by in changed.items():
-            if by:
-                counts[pair] += by
-                if counts[pair] > 0:
-                    heapq.heappush(heap, (-counts[pair], pair))
-        counts.pop(best, None)
+        a, b = best >> 32, best & 0xFFFFFFFF
+        at = np.unique(np.concatenate(places_of.pop(best)))
+        at = at[(symbol[at] == a) & (following[at] >= 0)]
+        at = at[symbol[following[at]] == b]
+        if a == b:  # in a run of equal symbols every second place, from the left
+            fresh = np.concatenate([[True], at[1:] != following[at[:-1]]])
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+        second = following[at]
+        left = before[at]
+        gone = np.unique(np.concatenate([left[left >= 0], at, second[following[second] >= 0]]))
+        gone_keys = keys(gone)
+        after = following[second]
+        symbol[at], symbol[second], following[at] = BYTES + len(merges), -1, after
+        before[after[after >= 0]] = at[after >= 0]
+        merges.append((int(a), int(b)))
+        left = before[at]
+        recount(gone, gone_keys, np.unique(np.concatenate([left[left >= 0], at[after >= 0]])))
     return merges
 
 
@@ -105,12 +134,20 @@ def merged(word: list[int], pair: Pair, new: int) -> list[int]:
 
 
 def train(texts: DataFrame, column: str, vocab: int) -> Tokenizer:
-    """A tokenizer of at most ``vocab`` tokens. Spark counts the pre-tokens; the merges, one after the other, are found on the driver."""
+    """A tokenizer of at most ``vocab`` tokens.
+
+    Spark counts the pre-tokens; the merges, one after the other, are found on the driver, which has each
+    different pre-token once. At most MOST_WORDS of them are taken there; with more it is an error, not a
+    sample: raise the bound with the driver's memory (some 100 bytes a letter), or train on fewer texts.
+    """
     count = vocab - OFFSET - BYTES
     if count < 0:
         raise ValueError(f"a vocabulary has at least {OFFSET + BYTES} tokens")
-    rows = frequencies(texts, column).where("word <> ''").orderBy("word").toLocalIterator()
-    return Tokenizer(train_merges({r["word"].encode(): r["freq"] for r in rows}, count))
+    rows = frequencies(texts, column).where("word <> ''").limit(MOST_WORDS + 1).toArrow()
+    if rows.num_rows > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} different pre-tokens")
+    words = rows["word"].cast("binary").to_pylist()
+    return Tokenizer(train_merges(dict(zip(words, rows["freq"].to_pylist(), strict=True)), count))
 
 
 class Tokenizer:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.sources.tables import read_table
+
 LATIN, KANA = "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def kana_image(text: Column) -> Column:
@@ -19,12 +21,12 @@ def kana_image(text: Column) -> Column:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents with a kana image of their beginning: source, source_ord, doc_id, line_no, en_raw, ja_raw."""
     docs = table(spark, sf_dir, "documents")
-    # one row per source, so the window's single partition is small
+    # one row per source, so the window's single partition is small; Spark broadcasts it if its size allows
     order = docs.select("source").distinct().select("source", (F.rank().over(_by_source()) - 1).alias("source_ord"))
     lines = docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "en_raw"))
     cut = F.floor(F.length("en_raw") / (1 + F.col("doc_id") % 8)).cast("int")
     ja = F.when(F.col("doc_id") % 11 == 0, F.col("en_raw")).otherwise(kana_image(F.substring(F.col("en_raw"), F.lit(1), cut)))
-    return lines.join(F.broadcast(order), "source").select("source", "source_ord", "doc_id", "line_no", "en_raw", ja.alias("ja_raw"))
+    return lines.join(order, "source").select("source", "source_ord", "doc_id", "line_no", "en_raw", ja.alias("ja_raw"))
 
 
 def _by_source():

@@ -1,5 +1,8 @@
 """The funnel, statistics and splits on small inputs."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +96,26 @@ def test_metrics(spark):
     assert metrics.chrf(pairs([("abd", "abc")])).first()[0] == pytest.approx(100 * (2 / 3 + 1 / 2 + 0) / 3)
 
 
+@pytest.mark.parametrize("portion", [1 << 21, 30])
+def test_ngrams_against_counters(spark, monkeypatch, portion):
+    monkeypatch.setattr(metrics, "PORTION", portion)
+    rng = random.Random(portion)
+    texts = [["".join(rng.choice("abc 日𠮷") for _ in range(rng.randrange(14))) for _ in range(40)] for _ in range(2)]
+    df = spark.createDataFrame([*zip(*texts, strict=True), (None, "ab"), ("ab", None)], "hyp string, ref string")
+    for units, split, order in ((metrics.visible, lambda t: "".join(t.split()), 6), (lambda c: F.filter(F.split(c, " "), lambda w: w != ""), str.split, 4)):
+        found = {r["n"]: (r["hyp"], r["ref"], r["hit"]) for r in metrics._matches(df, units, order).collect()}
+        for n in range(1, order + 1):
+            grams = lambda t: Counter(tuple(split(t or "")[k : k + n]) for k in range(len(split(t or "")) - n + 1))  # noqa: B023, E731
+            pairs = [(grams(a), grams(b)) for a, b in [*zip(*texts, strict=True), (None, "ab"), ("ab", None)]]
+            assert found[n] == tuple(sum(f(a, b) for a, b in pairs) for f in (lambda a, b: a.total(), lambda a, b: b.total(), lambda a, b: (a & b).total()))
+
+
+def test_loss_of_nothing_and_weights(spark):
+    rows = spark.createDataFrame([(2.0, 1), (6.0, 3)], "loss double, n_tokens long")
+    assert tuple(metrics.mean_loss(rows).first()) == (2.0, 4)
+    assert metrics.mean_loss(rows.where("false")).first()["n_tokens"] is None
+
+
 def test_results_are_aligned(spark):
     lines = spark.createDataFrame([('{"custom_id": "row-1", "response": {"body": {"choices": [{"message": {"content": " x "}}]}}}',), ('{"custom_id": "row-2"}',)], "value string")
     assert [r["content"] for r in hygiene.align_to_range(hygiene.parse_results(lines), 4).orderBy("i").collect()] == [None, "x", None, None]
