@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-#: A popular value's captures are dealt to this many parts; the list side is repeated as often.
-SALTS = 16
+from bitloom.llm.common import cut
+
+#: A popular value's captures are dealt out in parts of about so many; its list entries are repeated as often.
+PART_ROWS = 16_384
 
 OPEN_END = (1 << 62) - 1
 
@@ -81,10 +83,15 @@ def judge(captures: DataFrame, entries: DataFrame, row_id: str = "page_id") -> D
     """
     rows = captures.select(F.col(row_id).alias("_id"), "url", "fetched_at")
     distinct = rows.groupBy("_id", "url", "fetched_at").agg(F.count("*").alias("_n"))
-    keyed = distinct.withColumn("_k", F.explode_outer(keys_of(F.col("url")))).withColumn(
-        "_salt", F.pmod(F.xxhash64("_id", "url"), F.lit(SALTS)).cast("int")
-    )
-    active = intervals(entries).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = distinct.withColumn("_k", F.explode_outer(keys_of(F.col("url"))))
+    # values with more captures than a part: their number is bounded by the captures over PART_ROWS
+    parts = F.ceil(F.col("_c") / PART_ROWS).cast("int").alias("_parts")
+    hot = cut(every.groupBy("_k").agg(F.count("*").alias("_c")).where(F.col("_c") > PART_ROWS).where("_k IS NOT NULL").select("_k.kind", "_k.value", parts), "hot")
+    of_key = hot.select(F.col("kind").alias("_kind"), F.col("value").alias("_value"), "_parts")
+    salted = every.join(of_key, (F.col("_k.kind") == F.col("_kind")) & (F.col("_k.value") == F.col("_value")), "left")
+    keyed = salted.withColumn("_salt", F.pmod(F.xxhash64("_id", "url"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_kind", "_value", "_parts")
+    listed = intervals(entries).join(hot, ["kind", "value"], "left")
+    active = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     c, e = keyed.alias("c"), active.alias("e")
     hits = c.join(
         e,
@@ -153,7 +160,10 @@ def entries_of(pages: DataFrame) -> DataFrame:
 
 
 def query(pages: DataFrame) -> DataFrame:
-    """The verdict on every page, ids and digests only."""
+    """The verdict on every page: page_id, url, fetched_at, n_active, effect, matched_kind, matched_value, matched_list.
+
+    Null ids and URLs, repeated pages and an empty table are as in ``judge``.
+    """
     return judge(captures_of(pages), entries_of(pages))
 
 
