@@ -22,6 +22,7 @@ from bitloom.llm.common import WORD, cut
 WEIGHTS = (1, 2, 3)
 #: No source is repeated more often than this on average, and no document more often at all.
 MAX_COPIES = 3
+OWN = ("_size", "_source_size", "_target", "_copies", "_copy", "_class", "_bucket", "_same", "_rank", "_s", "_c", "_b", "_start")
 
 
 def word_count(text: Column) -> Column:
@@ -86,14 +87,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """All rows of ``docs`` and _size, _source_size, _target, _copies.
 
     Null text is empty; null sources are one source; a source without words has target 0 and no
-    copies. Rows with the same id and text are separate documents; rows equal in source, size and
-    id are interchangeable, so their order doesn't matter. Empty tables give empty results. Other
-    columns are kept as they are; names that start with an underscore are used here.
+    copies. Rows with the same id and text are separate documents; rows equal in source, id and text
+    are interchangeable, any others have a fixed order, so reruns agree. Rows without an id are told
+    apart by their text. Empty tables give empty results. Other columns are kept as they are, but for
+    those whose names are used here (OWN), which are replaced or dropped.
     """
-    sized = docs.withColumn("_size", word_count(F.col(text)))
-    cells = sized.withColumns(
-        {"_class": size_class(F.col("_size")), "_bucket": F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 2)}
-    )
+    sized = docs.drop(*OWN).withColumn("_size", word_count(F.col(text)))
+    same_text = F.xxhash64(text)
+    known = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text|"), same_text.cast("string")))
+    cells = sized.withColumns({"_class": size_class(F.col("_size")), "_bucket": F.substring(F.md5(known), 1, 2), "_same": same_text})
     key = [F.col(source).alias("_src"), "_class", "_bucket"]
     # counts of cells are needed three times; written once, so that texts are counted in two passes, not four
     counts = cut(cells.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")), "cells")
@@ -117,7 +119,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
             (F.col("_bucket_start") + F.col("_class_start")).alias("_start"), "_source_size", "_target",
         )
     )
-    in_bucket = Window.partitionBy(source, "_class", "_bucket").orderBy("_size", doc_id)
+    in_bucket = Window.partitionBy(source, "_class", "_bucket").orderBy("_size", doc_id, "_same")
     ranked = cells.withColumn("_rank", F.row_number().over(in_bucket))
     joined = ranked.join(
         starts,
@@ -128,7 +130,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     at = lambda r: F.floor(r.cast("double") * rate + offset)
     last = F.col("_start") + F.col("_rank")
     copies = F.least(at(last) - at(last - 1), F.lit(MAX_COPIES)).cast("long")
-    return joined.withColumn("_copies", copies).drop("_class", "_bucket", "_rank", "_s", "_c", "_b", "_start")
+    return joined.withColumn("_copies", copies).drop("_class", "_bucket", "_same", "_rank", "_s", "_c", "_b", "_start")
 
 
 def emit(mixed: DataFrame) -> DataFrame:
