@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import arrow_map
@@ -118,6 +118,18 @@ NEIGHBOURS = "doc_id long, n_chars long, edited_sha256 string, fingerprint strin
 _FIRST = -(1 << 63)
 
 
+def bucket_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most the key; found in two steps of about the root of their number."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    numbers = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
+    full = F.greatest(below(numbers([g[0] for g in groups])) - 1, F.lit(0))  # the last group that begins at or before the key
+    return full * step + below(F.get(F.array(*map(numbers, groups)), full))
+
+
 def with_successors(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, _bucket, _copy) such that, sorted by _bucket, _copy, id and text within a partition,
     each row of a bucket is followed by its successor in the order of ids; the last by a copy (_copy = 1)
@@ -130,8 +142,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_FIRST)).alias("_key"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)))
-    ranges = F.array(*[F.lit(int(x)) for x in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(ranges, lambda x: x <= F.col("_key")))
+    bucket = bucket_of(F.col("_key"), [int(x) for x in cuts])
     heads = sorted((r["_bucket"], r["_key"]) for r in rows.select(bucket.alias("_bucket"), "_key").groupBy("_bucket").agg(F.min("_key").alias("_key")).collect())
     if not heads:
         return rows.select("doc_id", "text", F.lit(0).alias("_bucket"), F.lit(0).alias("_copy"))
