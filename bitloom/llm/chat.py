@@ -226,6 +226,11 @@ TRAP_ID, TRAP_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
 def query(conversations: DataFrame) -> DataFrame:
+    """One row for each conversation, and for the trap: what is read back from its formatted text (see ``read_back``).
+
+    Null roles and texts are empty, null turns come first, an empty table leaves the trap alone;
+    columns besides the four are left out.
+    """
     spark = conversations.sparkSession
     trap = spark.createDataFrame(
         [(TRAP_ID, 0, "user", TRAP_TEXT), (TRAP_ID, 1, "assistant", TRAP_TEXT)], "conv_id long, turn long, role string, text string"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.sources.tables import read_table
+
 # Tasks carry this package's code with them: executors need not have it on their paths.
 cloudpickle.register_pickle_by_value(bitloom)
 
@@ -24,16 +28,19 @@ BATCH_ROWS = "500"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine) a local folder is chosen and set.
+    Only where it is unset and all run in one process (tests) a local folder is chosen and set; on a
+    cluster it is an error, since other executors would not see what is written there.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         local = f"/tmp/bitloom-checkpoints-{spark.sparkContext.applicationId}"
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         there = f"file://{local}"
@@ -45,20 +52,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clear)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that ``cut`` wrote, once nothing will read it again."""
-    spark = df.sparkSession
+_WRITTEN: list[str] = []
+
+
+def _clear() -> None:
+    """Delete the tables that ``cut`` wrote when the driver ends, if its session is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            _delete(spark, _WRITTEN)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote, once nothing will read it again."""
+    _delete(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
 def arrow_map(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -47,6 +47,7 @@ PARTS_OF = 8
 #: Symbols hashed at a time, and bytes sorted together.
 SLICE, CHUNK = 1 << 17, 1 << 19
 
+OWN = ("_id", "_version", "_spans", "_word_spans", "_wanted", "_from")
 _PLACE = 20  # bits of an anchor's key that hold its place in a slice
 _BASE = 0x9E3779B97F4A7C15
 _PUNCTUATION = string.punctuation.encode()
@@ -425,8 +426,8 @@ def _divide(unit: Unit, width: int, before: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _id and _version, which tell rows apart as far as their ids and texts do."""
-    return docs.withColumns(
+    """``docs`` with _id and _version, which tell rows apart as far as their ids and texts do; columns named like OWN are dropped."""
+    return docs.drop(*OWN).withColumns(
         {"_id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "_version": F.hash("text")}
     )
 
@@ -557,11 +558,14 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, words: bool = False) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text`` (in whole characters); all columns and rows stay.
+    """``docs`` with the repeated bytes cut out of ``text`` (in whole characters); all rows stay, and all columns but OWN.
+
+    Null and empty texts stay as they are; rows repeated in id and text are cut alike.
 
     With ``words`` repeats of 51 words go too, however few bytes they have. Their words are the same
     without the ASCII punctuation at their ends; white space and punctuation between them need not be.
     """
+    docs = docs.drop(*OWN)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

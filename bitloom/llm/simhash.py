@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import arrow_map, cut, slices
@@ -484,20 +484,24 @@ def similar(texts: DataFrame, found: DataFrame) -> DataFrame:
     return components(links).select(F.col("root").alias("u"), F.col("node").alias("v"))
 
 
+def row_key() -> Column:
+    """A number for each different pair of id and text."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and _keep of each distinct id: kept is the smallest id of each group of near duplicates.
+    """row (see ``row_key``) and _keep of each different row: of each group of near duplicates the one with the smallest id is kept.
 
     Near fingerprints are candidates; a group is linked by Jaccard similarities of at least STAGE_LEAST
-    of the distinct shingles. Texts without words are copies of each other.
+    of the distinct shingles. Texts without words are copies of each other. Rows of one id with
+    different texts are different documents, rows without an id come last in their group; rows equal in
+    id and text are one row here. An empty table gives an empty one.
     """
-    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    texts = docs.select("doc_id", "text", row_key())
     prints = cut(set_fingerprints(texts, STAGE_SHINGLE, STAGE_SEEDS), "simhash")
     loose = cut(classes(prints, random_masks(STAGE_TABLES, STAGE_BITS, len(STAGE_SEEDS)), STAGE_RADIUS, STAGE_FIRST).drop("fp"), "classes")
     roots = similar(texts.select("row", "text"), loose).select(F.col("u").alias("root"), F.col("v").alias("node"))
-    found = cut(loose.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component")), "similar")
-    smallest = cut(found.groupBy("component").agg(F.min("doc_id").alias("_first")), "smallest")
-    return (
-        found.join(smallest, "component")
-        .groupBy("doc_id")
-        .agg(F.max(F.col("doc_id").eqNullSafe(F.col("_first"))).alias("_keep"))
-    )
+    found = cut(loose.join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("component")), "similar")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
+    smallest = cut(found.groupBy("component").agg(F.min(order).alias("_first")), "smallest")
+    return found.join(smallest, "component").groupBy("row").agg(F.max(F.col("row") == F.col("_first.row")).alias("_keep"))

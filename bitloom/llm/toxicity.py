@@ -167,7 +167,11 @@ def score_texts(texts: list[str | None], table: np.ndarray, bias: float, hashes:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and _score of every whole text; a null or empty text has the prior's score."""
+    """All columns of ``docs`` and _score of every whole text; a null or empty text has the prior's score.
+
+    A column _score that is there already is replaced.
+    """
+    docs = docs.drop("_score")
     sent = docs.sparkSession.sparkContext.broadcast((model.at, model.weight, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

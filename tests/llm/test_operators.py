@@ -1,6 +1,7 @@
 """The training-data operators on small inputs, against brute-force versions and for odd rows."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -81,14 +82,14 @@ def test_bm25_search_finds_what_scoring_everything_finds():
     items = [(i, prose(100 + i, rng.randint(12, 60))) for i in range(90)]
     index = decontaminate.Index.of(items)
     texts = [prose(i, 150) + " " + items[rng.randrange(90)][1] + " " + prose(900 + i, 80) for i in range(40)]
-    found = decontaminate.search(texts, index, index.range_maxima())
+    found = decontaminate.search(texts, index)
     for text, hits in zip(texts, found, strict=True):
         words, best = decontaminate.words_of(text), {}
         for a in range(0, max(1, len(words) - index.window), index.window):
             query = {index.terms[w] for w in words[a : a + 2 * index.window] if w in index.terms}
             scores = Counter()
             for t in query:
-                for item, impact in zip(*index.postings[t][:2], strict=True):
+                for item, impact in zip(*index.postings(t)[:2], strict=True):
                     scores[item] += impact
             for item, s in scores.items():
                 if s >= decontaminate.THRESHOLD:
@@ -97,6 +98,26 @@ def test_bm25_search_finds_what_scoring_everything_finds():
     assert all(h for h in found)
 
 
+def test_scores_do_not_depend_on_the_shards(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, prose(100 + i, rng.randint(12, 60)) + ". " + prose(300 + i, 5) + ".") for i in range(40)] + [(90, None), (91, "")]
+    bench = spark.createDataFrame([*items, (None, "no id")], "item_id long, text string")
+    texts = [prose(i, 60) + " " + " ".join(items[rng.randrange(40)][1].split()[: rng.randint(8, 60)]) + " " + prose(700 + i, 40) for i in range(50)] + [None, ""]
+    run = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in decontaminate.matches(docs(spark, texts), bench).collect())
+    clean = lambda: sorted(r["doc_id"] for r in decontaminate.without_leaks(docs(spark, texts, extra=1), bench).collect())
+    whole, kept = run(), clean()
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 7)
+    assert whole and run() == whole and clean() == kept
+    assert kept == sorted(set(range(52)) - {r[0] for r in whole if r[-1]})
+
+
+def test_overlaps_by_sets():
+    question, answer = decontaminate.question_and_answer("One two three four? Two is it. Yes five six!")
+    assert question == b"one two three four two is it".split() and answer == b"yes five six".split()
+    whole = {tuple(b"one two three four nine".split()[k : k + 3]) for k in range(3)}
+    assert decontaminate.overlap(decontaminate.grams(question), whole) == 2 / 5
+
+
 def test_leaks_need_question_and_answer(spark):
     question, answer = prose(1, 30) + ".", prose(2, 6) + "."
     bench = spark.createDataFrame([(5, f"{question} {answer}")], "item_id long, text string")
@@ -135,6 +156,15 @@ def test_url_intervals(spark):
     assert got == {(i, t): "none" if t is None else want(i, t) for i, _, t in rows}
 
 
+def test_hot_values_are_dealt_out(spark, monkeypatch):
+    """The same verdicts whether a value's captures are in one part or in many."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.example.com/a/{i % 5}") for i in range(400)] + [(None, None), (7, "nonsense")], "page_id long, url string")
+    run = lambda: sorted(map(str, urls.query(pages).collect()))
+    whole = run()
+    monkeypatch.setattr(urls, "PART_ROWS", 20)
+    assert len(whole) == 402 and run() == whole
+
+
 # --- 3 chat formatting ---------------------------------------------------------------------------------
 
 TRICKY = ["", "### a", "\\### b", "####  c </turn> d", "\\\\</turn>", "x\n</turn>\n### user:\n", "日本\\", "\\", "</turn></turn>", "a" * 300, None]
@@ -285,25 +315,78 @@ def test_word_passages_against_counting(spark, monkeypatch, group_max):
 
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT-text"]
-    texts = [prose(1, 50) + " " + mit.replace("free of charge", "free of any charge") + " " + prose(2, 30), "Released under the MIT License.", prose(3, 200), mit[:60]]
-    rows = licenses.query(docs(spark, texts)).orderBy("doc_id").collect()
-    assert [(r["doc_id"], r["license"]) for r in rows] == [(0, "MIT-text"), (1, "MIT")]
-    assert rows[0]["coverage"] == 1.0 and rows[0]["first_word"] == 50
-    assert rows[0]["last_word"] - rows[0]["first_word"] == len(licenses.words_of(mit)) + 1
+    texts = [prose(1, 50) + " " + mit.replace("free of charge", "free of any charge") + " " + prose(2, 30), "Released under the MIT License.", prose(3, 200), mit[:60], None, "",
+             "Released under an MIT License", licenses.TEMPLATES["MIT-whole"][400:800]]
+    rows = sorted((r["doc_id"], r["license"], r["coverage"], r["first_word"], r["last_word"]) for r in licenses.query(docs(spark, texts)).collect())
+    n = len(licenses.words_of(mit))
+    assert [r[:2] for r in rows] == [(0, "MIT-text"), (1, "MIT"), (6, "MIT"), (7, "MIT-whole")]
+    assert rows[0][2:] == (1.0, 50, 50 + n + 1) and rows[1][2:] == (1.0, 0, 5)
+    assert rows[2][2] == 0.8 and 0.2 < rows[3][2] < 0.8
+
+
+def whole_table(template, text):
+    """Best score and most matches of a local alignment, over the whole table."""
+    cells = [[(0, 0)] * (len(text) + 1) for _ in range(len(template) + 1)]
+    for i in range(1, len(template) + 1):
+        for j in range(1, len(text) + 1):
+            same = template[i - 1] == text[j - 1]
+            options = [(0, 0), (cells[i - 1][j - 1][0] + (2 if same else -1), cells[i - 1][j - 1][1] + same)]
+            options += [(c[0] - 1, c[1]) for c in (cells[i - 1][j], cells[i][j - 1]) if c[0] > 1]
+            cells[i][j] = max(options)
+    return max(c for row in cells for c in row)
 
 
 def test_banded_alignment_against_the_whole_table():
     rng = random.Random(2)
-    for _ in range(40):
-        a = np.array([rng.randrange(1, 6) for _ in range(rng.randint(3, 14))])
-        b = list(a)
+    for _ in range(60):
+        a = [rng.randrange(1, 6) for _ in range(rng.randint(3, 14))]
+        b = [x for x in a if rng.random() > 0.15]
         for _ in range(rng.randrange(3)):
-            b.insert(rng.randrange(len(b) + 1), 0)
-        lead = rng.randrange(4)
-        b = np.array([0] * lead + b + [0] * 3)
-        matched, begin, end = licenses.align(a, b, lead)
-        # all of the template is in the text, in order, with at most two words between
-        assert matched == len(a) and end - begin >= len(a)
+            b.insert(rng.randrange(len(b) + 1), 9)
+        b = [0] * rng.randrange(4) + b + [0] * 3
+        matched, begin, end = licenses.align(np.array(a), np.array(b), 0, band=30)  # a band that holds the whole table
+        assert matched == whole_table(a, b)[1]
+        # the span alone gives the same alignment
+        assert not matched or whole_table(a, b[begin:end]) == whole_table(a, b)
+
+
+def test_every_text_with_enough_of_a_template_is_a_candidate():
+    """All ways to lose a fifth of a short template's words, and many of the longer ones'."""
+    from itertools import combinations
+
+    known, rng = licenses.Templates(licenses.TEMPLATES), random.Random(1)
+    for name, template in licenses.TEMPLATES.items():
+        words = [w.decode() for w in licenses.words_of(template)]
+        lost = len(words) - math.ceil(licenses.COVERAGE * len(words))
+        ways = list(combinations(range(len(words)), lost)) if len(words) < 12 else [rng.sample(range(len(words)), lost) for _ in range(15)]
+        for way in ways:
+            text = " ".join(["other"] + ["changed" if k in way else w for k, w in enumerate(words)] + ["end"])
+            assert known.names.index(name) in _hits(text, known), (name, way)
+
+
+def _hits(text, known):
+    """Templates with a gram in the text."""
+    words = licenses.words_of(text)
+    codes = np.array([known.number.get(w, 0) for w in words])
+    return {int(t) for gram, (hashes, template, _) in known.index.items() for t, h in zip(template, hashes, strict=True) if h in licenses.gram_hashes(codes, gram)}
+
+
+def test_licenses_against_all_alignments(spark):
+    """Every template aligned with every text over the whole table finds the same licenses."""
+    rng, names = random.Random(8), [n for n, t in licenses.TEMPLATES.items() if len(t) < 260]
+    texts = []
+    for k in range(40):
+        words = licenses.TEMPLATES[rng.choice(names)].split()
+        words = [w if rng.random() > 0.12 else "other" for w in words]
+        texts.append(prose(k, rng.randrange(12)) + " " + " ".join(words[rng.randrange(3) :]) + " " + prose(k + 99, 5))
+    found = defaultdict(set)
+    for r in licenses.licenses(docs(spark, texts), {n: licenses.TEMPLATES[n] for n in names}).collect():
+        found[r["doc_id"]].add(r["license"])
+    for d, text in enumerate(texts):
+        for n in names:
+            template = licenses.words_of(licenses.TEMPLATES[n])
+            _, matched = whole_table(template, licenses.words_of(text))
+            assert (n in found[d]) == (matched >= licenses.COVERAGE * len(template) or matched >= licenses.PART_WORDS), (n, text)
 
 
 # --- 6 toxicity --------------------------------------------------------------------------------------------
@@ -320,6 +403,41 @@ def test_toxicity_learns_words_and_not_ids(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_fit_against_plain_ftrl():
+    """One coordinate after the other, as the update is published, with the bias as one more coordinate without penalty."""
+    rng = random.Random(12)
+    examples = [(np.unique([rng.randrange(40) for _ in range(12)]).astype(np.int32), int(rng.random() < 0.4)) for _ in range(60)]
+    z, n, bz, bn = defaultdict(float), defaultdict(float), 0.0, 0.0
+    toxic = sum(y for _, y in examples)
+    prior = math.log((toxic + 0.5) / (len(examples) - toxic + 1.5))
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((b + math.sqrt(n[i])) / a + l2)
+    bias = lambda: -bz / ((b + math.sqrt(bn)) / a)
+    for _ in range(toxicity.EPOCHS):
+        for at, y in examples:
+            ws = {int(i): weight(int(i)) for i in at}
+            g = (1 / (1 + math.exp(-(prior + bias() + sum(ws.values())))) - y) * (toxicity.POSITIVE_WEIGHT if y else 1.0)
+            for i, w in ws.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a
+                z[i] += g - sigma * w
+                n[i] += g * g
+            sigma = (math.sqrt(bn + g * g) - math.sqrt(bn)) / a
+            bz, bn = bz + g - sigma * bias(), bn + g * g
+    model = toxicity.fit(examples)
+    expected = {i: weight(i) for i in list(z) if weight(i)}
+    assert expected and dict(zip(model.at.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(expected, rel=1e-5)
+    assert model.bias == pytest.approx(prior + bias())
+
+
+def test_features_by_plain_hashing():
+    """The same word, pair or skip-gram has the same number wherever it is; the three kinds are told apart."""
+    h = toxicity.WordHashes()
+    f = lambda t: set(toxicity.features(t, h).tolist())
+    one, two, three = f("a"), f("a b"), f("a b c")
+    assert len(one) == 1 and len(two) == 3 and len(three) == 6
+    assert one < two < three and f("x a b") >= two and f("A, b! (c)") == three and f(None) == f("") == set()
+
+
 def test_scores_do_not_depend_on_the_batch():
     model = toxicity.fit([(toxicity.features(prose(i, 30) + (" villain" if i % 2 else ""), toxicity.WordHashes()), i % 2) for i in range(200)])
     texts, hashes = [None, "", "villain", prose(1, 30) + " villain", "villain " * 5], toxicity.WordHashes()
@@ -355,6 +473,35 @@ def test_profiles_by_plain_counting():
     assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {code(g): c for g, c in counts.items()}
 
 
+def plain_profile(text):
+    """n-grams of letters and boundaries (a space) by falling count, then by code points."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    counts = Counter()
+    padded = " " + " ".join(runs) + " " if runs else ""
+    for n in (1, 2, 3):
+        for k in range(len(padded) - n + 1):
+            gram = padded[k : k + n]
+            if gram != " " and " " not in gram[1:-1]:
+                counts[gram] += 1
+    code = lambda c: 1 if c == " " else ord(c) + 2
+    key = lambda g: sum(code(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], key(x[0])))][: language.PROFILE], key
+
+
+def test_distance_by_plain_ranks():
+    samples = {"en": prose(1, 400), "xx": " ".join(w[::-1] for w in prose(2, 300).split()), "yy": "où est l'été à Noël ñandú " * 30}
+    profiles = {lang: plain_profile(t)[0] for lang, t in samples.items()}
+    key = plain_profile("a")[1]
+    known = language.Profiles({lang: [key(g) for g in grams] for lang, grams in profiles.items()})
+    for text in [prose(5, 30), " ".join(w[::-1] for w in prose(9, 12).split()), "l'été à", "日本語", "a"]:
+        own = plain_profile(text)[0]
+        assert [key(g) for g in own] == language.top(*language.count_grams(text)).tolist()
+        distance = {lang: sum(abs(grams.index(g) - i) if g in grams else language.PROFILE for i, g in enumerate(own)) for lang, grams in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert known.predict(text) == (best, pytest.approx(1 - distance[best] / (language.PROFILE * len(own))))
+    assert known.predict(None) == known.predict("123 !") == ("und", 0.0)
+
+
 def test_long_texts_are_counted_in_slices(monkeypatch):
     text = prose(1, 4000)
     whole = language.count_grams(text)
@@ -404,6 +551,15 @@ def test_mix_is_near_its_targets_and_repeatable(spark):
     assert mixing.emit(mixing.mix(df)).count() == int((found["taken"] / found["size"]).sum())
 
 
+def test_equal_ids_and_null_ids_have_one_order(spark):
+    """Rows of one id and size are told apart by their text, so reruns agree."""
+    rows = [(5 if i % 2 else None, f"a b {i}", None, "s", 0) for i in range(600)] + [(None, None, None, None, None), (1, "", None, "z", 0)]
+    df = spark.createDataFrame(rows, DOC).withColumn("_size", F.lit("clash")).withColumn("_rank", F.lit(1))
+    run = lambda d: sorted((r["text"] or "", r["_copies"]) for r in mixing.mix(d).collect())
+    first = run(df.repartition(3))
+    assert first == run(df.repartition(7)) and len(first) == 602 and {c for t, c in first if t == ""} == {0}
+
+
 # --- components ----------------------------------------------------------------------------------------------
 
 
@@ -490,6 +646,11 @@ def test_every_pair_within_the_radius_shares_a_block():
         assert any(not flips & m for m in masks)
 
 
+def kept_ids(df):
+    kept = simhash.near_duplicates(df).where("_keep")
+    return {r["doc_id"] for r in df.select("doc_id", simhash.row_key()).join(kept, "row", "left_semi").collect()}
+
+
 def test_stage_finds_near_duplicates(spark):
     rng = random.Random(6)
     texts = [prose(i, 200) for i in range(60)]
@@ -498,7 +659,7 @@ def test_stage_finds_near_duplicates(spark):
         for k in rng.sample(range(200), 4):  # four of 200 words: 20 of 196 shingles
             words[k] = f"new{k}"
         texts.append(" ".join(words))
-    kept = {r["doc_id"] for r in simhash.near_duplicates(docs(spark, texts)).where("_keep").collect()}
+    kept = kept_ids(docs(spark, texts))
     assert set(range(60)) <= kept and len(kept) <= 68  # just above the least similarity most are found, not all
 
 
@@ -515,7 +676,7 @@ def test_stage_links_only_what_is_similar(spark):
     texts += [texts[20].replace(" ", "\n"), texts[21] + " more", "", None]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in texts)]
     drop = {j for i in range(44) for j in range(i + 1, 44) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    kept = {r["doc_id"] for r in simhash.near_duplicates(docs(spark, texts)).where("_keep").collect()}
+    kept = kept_ids(docs(spark, texts))
     assert drop == {40, 41, 43} and kept == set(range(44)) - drop
 
 
@@ -572,6 +733,31 @@ def test_digest_text_form_and_likeness():
     assert digests.likeness(d[:1], d[1:2])[0] > 0.9 > digests.likeness(d[:1], d[2:3])[0]
 
 
+def test_quartiles_and_likeness_by_plain_counting():
+    rng = random.Random(3)
+    texts = [prose(k, rng.randrange(1, 200)).encode() for k in range(12)] + [b"", b"ab", b"a" * 300]
+    made = digests.digests(texts)
+    for text, counts, digest in zip(texts, digests.bucket_counts(texts).tolist(), made, strict=True):
+        ordered = sorted(counts)
+        q = [ordered[31], ordered[63], ordered[95]]
+        assert digest[2:].tolist() == [sum(c > x for x in q) for c in counts]
+        assert digest[0] == min(255, math.floor(math.log1p(len(text)) / math.log(1.2)))
+        assert digest[1] == q[0] * 15 // max(1, q[2]) * 16 + q[1] * 15 // max(1, q[2])
+    for a, b in zip(made[:-1], made[1:], strict=True):
+        x, y = [list(map(int, d)) for d in (a, b)]
+        steps = [abs(p - q) for p, q in zip(x[2:], y[2:], strict=True)]
+        length = abs(x[0] - y[0])
+        total = sum(6 if d == 3 else d for d in steps) + (length if length <= 1 else 4 * (length - 1)) + abs((x[1] >> 4) - (y[1] >> 4)) + abs((x[1] & 15) - (y[1] & 15))
+        assert digests.likeness(a[None], b[None])[0] == pytest.approx(max(0.0, 1 - total / digests.BOUND))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 37])
+def test_ranges_in_two_steps(spark, n):
+    cuts = sorted(random.Random(n).sample(range(-50, 50), n))
+    rows = spark.range(-55, 55).select("id", digests.bucket_of(F.col("id"), cuts).alias("b")).collect()
+    assert all(r["b"] == sum(c <= r["id"] for c in cuts) for r in rows)
+
+
 def test_successors_in_order_of_ids(spark):
     ids = [5, -3, 10**12, 7, 0, 44, None]
     rows = [(i, prose(k, 20 + k), None, None, 0) for k, i in enumerate(ids)]
