@@ -337,6 +337,33 @@ def pad_batches(rows: DataFrame, column: str, by: str = "batch_id", pad: int = P
     return rows.withColumn("_n", longest).withColumn(column, F.concat(column, F.array_repeat(F.lit(pad), (F.col("_n") - F.size(column)).cast("int")))).drop("_n")
 
 
+def load_batches(store: DataFrame, budget: int, seed: int = 0, epoch: int = 0, shuffle: bool = True) -> DataFrame:
+    """(batch_id, idx, src, tgt) of a store (idx, src, tgt, length): batches in their order, padded to their longest, longest side first.
+
+    The store is joined with the batches by id; sort or stream partitions by batch_id to train on them.
+    """
+    batches = token_batches(store.select("idx", "length"), budget, seed, epoch, shuffle).select("batch_id", "place", "idx")
+    rows = batches.join(store.select("idx", "src", "tgt"), "idx")
+    padded = pad_batches(pad_batches(rows, "src"), "tgt")
+    return padded.repartition("batch_id").sortWithinPartitions("batch_id", "place").select("batch_id", "idx", "src", "tgt")
+
+
+def epochs(store: DataFrame, budget: int, seed: int = 0) -> Iterator[list]:
+    """Batches one after the other, without an end, in a new order for each epoch; each batch is a list of rows (idx, src, tgt)."""
+    epoch = 0
+    while True:
+        batch: list = []
+        for row in load_batches(store, budget, seed, epoch).toLocalIterator():
+            if batch and row["batch_id"] != batch[0]["batch_id"]:
+                yield batch
+                batch = []
+            batch.append(row)
+        if not batch:
+            return
+        yield batch
+        epoch += 1
+
+
 def token_stats(rows: DataFrame, text: Column, ids: Column) -> DataFrame:
     """Tokens a sentence (mean, p95) and characters a token."""
     from bitloom.operators.corpus import length_stats

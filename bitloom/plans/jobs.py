@@ -5,7 +5,9 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from itertools import product
+from threading import Event, Thread
 from typing import Any
 
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators import corpus, metrics
-from bitloom.sources import files
+from bitloom.sources import files, reports, stores
 
 
 def coerce(text: str) -> int | float | bool | str:
@@ -57,10 +59,22 @@ def rule_digest(rules: DataFrame) -> DataFrame:
     return rules.groupBy("rule_id").agg(F.concat(F.first("rule_id"), F.lit("("), roles, F.lit(")")).alias("line"))
 
 
-def user_prompt(text: Column, surfaces: Column) -> Column:
-    """A sentence and its numbered tokens."""
-    numbered = F.transform(surfaces, lambda s, i: F.concat(i.cast("string"), F.lit(":"), s))
-    return F.concat(F.lit("Sentence: "), text, F.lit("\nTokens: "), F.array_join(numbered, " "))
+def system_prompt(rules: DataFrame, ruleset: str) -> str:
+    """What an annotation teacher is told: the answer's shape, its rules, and the inventory (at most 20000 rules)."""
+    inventory = "\n".join(r["line"] for r in rule_digest(rules).orderBy("rule_id").limit(20_000).collect())
+    return f"""Annotate the numbered tokens of a Japanese sentence. Answer with one JSON object and nothing else:
+{{"tokens": [{{"id": 0, "gloss": "..."}}], "words": [{{"span": [0, 2], "dict": "...", "gloss": "..."}}],
+"sentences": [{{"span": [0, 5], "translation": "..."}}], "grammar": [{{"rule": "...", "roles": {{"role": 0}}}}]}}
+Every token has one gloss, punctuation an empty one. A span [a, b) counts tokens; sentences cover all of them
+without gaps, words don't overlap. A role's target is a token's number or a span. Only these rules exist, and
+their required roles must be given; optional ones end in "?" ({ruleset}):
+{inventory}"""
+
+
+def user_prompt(text: Column, morphs: Column) -> Column:
+    """A sentence and its numbered tokens with their tags and dictionary forms."""
+    line = lambda m, i: F.format_string("  %d: %s  [%s]  dict=%s", i, m["surface"], m["pos"], m["dictionary_form"])
+    return F.concat_ws("\n", F.concat(F.lit("Sentence: "), text), F.lit("Tokens:"), F.array_join(F.transform(morphs, line), "\n"))
 
 
 class Rejected(Exception):
@@ -105,6 +119,17 @@ def ask_teacher(rows: DataFrame, call: Callable[..., dict], effort: str | None =
     return rows.select("i", "text").mapInPandas(run, ANSWER)
 
 
+def ask_annotations(rows: DataFrame, rules: DataFrame, ruleset: str, call: Callable[..., dict], effort: str | None = None, threads: int = 8) -> DataFrame:
+    """``rows`` (i, text, morphs) with content, a teacher's JSON object; null if there is no answer or none that is one.
+
+    ``call`` gets the prompt, ``system`` and ``effort``.
+    """
+    told = system_prompt(rules, ruleset)
+    asked = ask_teacher(rows.select("i", user_prompt(F.col("text"), F.col("morphs")).alias("text")), lambda prompt, effort: call(prompt, system=told, effort=effort), effort, threads)
+    usable = F.try_parse_json(F.col("content")).isNotNull() & F.col("content").rlike(r"^\s*\{")
+    return rows.join(asked.select("i", F.when(usable, F.col("content")).alias("content")), "i", "left")
+
+
 def usage(answers: DataFrame) -> DataFrame:
     """Requests, tokens and errors of answers that are there; counted from rows, so retried tasks count once."""
     return answers.agg(F.count("*").alias("n"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum(F.col("error").cast("long")).alias("errors"))
@@ -131,6 +156,34 @@ def evaluate(pairs: DataFrame, run: str, test_set: str, seed: int, beam: int = 1
     )
 
 
+def evaluate_run(pairs: DataFrame, translate: Callable[[DataFrame], DataFrame], run: str, test_set: str, seed: int, path: str, version: int, beam: int = 1) -> str:
+    """Translate rows (id, ja, en), score them, append the record to the results at ``path``; the report over all results there."""
+    hyps = translate(pairs.select("id", F.col("ja").alias("src")))
+    scored = pairs.select("id", F.col("en").alias("ref")).join(hyps, "id", "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
+    stores.append_results(evaluate(scored, run, test_set, seed, beam), path, version)
+    return reports.results_report(stores.load_results(pairs.sparkSession, path))
+
+
+@contextmanager
+def progress(spark: SparkSession, report: Callable[[int, int], None], every: float = 5.0) -> Iterator[None]:
+    """Report the tasks that are done and all tasks of the running stages, again and again while the block runs, and once at its end."""
+    tracker, ended = spark.sparkContext.statusTracker(), Event()
+
+    def watch() -> None:
+        while not ended.wait(every):
+            stages = [s for s in map(tracker.getStageInfo, tracker.getActiveStageIds()) if s]
+            report(sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages))
+
+    thread = Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        ended.set()
+        thread.join()
+        report(0, 0)
+
+
 # --- the corpus build --------------------------------------------------------------------------------
 
 

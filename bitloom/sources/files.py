@@ -13,19 +13,49 @@ PAIR = "ja string, en string"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file, in the order of its lines; broken UTF-8 becomes U+FFFD.
+    """(line_no, value) of text files, in the order of their paths and lines; broken UTF-8 becomes U+FFFD.
 
-    The file is read as one row per split; line numbers come from counts of the lines in each split
-    before, so that no task reads the whole file.
+    Files are read in blocks. A line's number is its place in its block and the lines of all blocks
+    before, by path and offset, so that no task reads a whole file. Only counts of blocks are ordered
+    in one place.
     """
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_m"))
-    # the id has the partition in its upper bits and the place in the partition in its lower 33
-    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    placed = raw.select("value", part.alias("_p"), place.alias("_i"))
-    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(starts, "_p").select((F.col("_start") + F.col("_i")).alias("line_no"), "value")
+    block = [F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")]
+    raw = spark.read.text(path).select("value", *block, F.monotonically_increasing_id().alias("_m"))
+    counts = raw.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return raw.join(starts, ["_f", "_b"]).select((F.col("_shift") + F.col("_m")).alias("line_no"), "value")
+
+
+def list_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of all files below a folder, in any file system that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        return []
+    found, out = fs.listFiles(path, True), []
+    while found.hasNext():
+        out.append(found.next().getPath().toString())
+    return out
+
+
+def once(spark: SparkSession, marker: str, make: Callable[[], None]) -> bool:
+    """Run ``make`` (a download, an extraction) unless ``marker`` is there, and leave the marker when it is done; whether it ran."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marker)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        return False
+    make()
+    fs.create(path, True).close()
+    return True
+
+
+def locate_bitext(paths: list[str]) -> str | None:
+    """The extracted file among ``paths``: the first *.txt by path, else the first whose name begins with en-ja; archives (.gz) are none."""
+    name = lambda p: p.rsplit("/", 1)[-1]
+    texts, others = sorted(p for p in paths if name(p).endswith(".txt")), sorted(p for p in paths if name(p).startswith("en-ja"))
+    return next((p for p in texts + others if not name(p).endswith(".gz")), None)
 
 
 def parallel(spark: SparkSession, ja_path: str, en_path: str) -> DataFrame:
@@ -110,8 +140,11 @@ def _tabs(spark: SparkSession, root: str, name: str = "pairs.tsv") -> DataFrame:
 
 
 @source("crawl")
-def _crawl(spark: SparkSession, root: str, name: str = "*.txt", floor: float | None = 0.5) -> DataFrame:
-    return crawl_pairs(lines(spark, f"{root}/{name}"), floor, keep=("line_no",))
+def _crawl(spark: SparkSession, root: str, name: str | None = None, floor: float | None = 0.5) -> DataFrame:
+    path = f"{root}/{name}" if name else locate_bitext(list_files(spark, root))
+    if path is None:
+        raise ValueError(f"no bitext below {root!r}")
+    return crawl_pairs(lines(spark, path), floor, keep=("line_no",))
 
 
 def union_sources(spark: SparkSession, config: list[dict], only: set[str] | None = None, most: int | None = None) -> DataFrame:
@@ -141,12 +174,18 @@ def first_of_source(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
 
 
-def test_set(spark: SparkSession, name: str, known: dict[str, str]) -> DataFrame:
-    """A test set by its registered name or a path to JSON lines; anything else is an error."""
+def test_set(spark: SparkSession, name: str, known: dict[str, str], published: str | None = None) -> DataFrame:
+    """A test set by its registered name or a path to JSON lines; anything else is an error.
+
+    wmt names are sets that others publish; ``published`` is the folder where their files were put, as
+    <name>.ja and <name>.en (this engine fetches nothing).
+    """
     if name in known:
         return read_pairs(spark, known[name])
     if name.endswith(".jsonl"):
         return read_pairs(spark, name)
+    if name.startswith("wmt") and published is not None:
+        return parallel(spark, f"{published}/{name}.ja", f"{published}/{name}.en").orderBy("line_no").select("ja", "en")
     raise ValueError(f"unknown test set {name!r}")
 
 

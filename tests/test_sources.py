@@ -28,6 +28,42 @@ def test_tabs_and_crawl(spark, tmp_path):
         files.union_sources(spark, [{"name": "x", "kind": "nope", "root": ""}])
 
 
+def test_lines_of_several_files_and_blocks(spark, tmp_path):
+    """Numbers follow paths and offsets, also where Spark reads a later or larger block first."""
+    write(tmp_path / "b.txt", *[f"b{i:03d}" for i in range(400)])
+    write(tmp_path / "a.txt", *[f"a{i}" for i in range(5)])
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        rows = files.lines(spark, str(tmp_path / "*.txt")).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [tuple(r) for r in rows] == list(enumerate([f"a{i}" for i in range(5)] + [f"b{i:03d}" for i in range(400)]))
+
+
+def test_bitext_is_located(spark, tmp_path):
+    assert files.locate_bitext(["/r/en-ja/en-ja.tar.gz", "/r/en-ja/x.bicleaner", "/r/z/b.txt", "/r/a/c.txt"]) == "/r/a/c.txt"
+    assert files.locate_bitext(["/r/en-ja.tar.gz", "/r/q/en-ja.text"]) == "/r/q/en-ja.text" and files.locate_bitext(["/r/en-ja.gz"]) is None
+    (tmp_path / "en-ja").mkdir()
+    write(tmp_path / "en-ja" / "en-ja.txt", "http://a\thttp://b\t0.9\tHello\tこんにちは")
+    write(tmp_path / "en-ja" / "en-ja.txt.gz", "nothing")
+    assert files.SOURCES["crawl"](spark, str(tmp_path)).count() == 1
+    with pytest.raises(ValueError):
+        files.SOURCES["crawl"](spark, str(tmp_path / "nowhere"))
+    ran = []
+    assert [files.once(spark, str(tmp_path / ".done"), lambda: ran.append(1)) for _ in range(2)] == [True, False] and ran == [1]
+    write(tmp_path / "wmt22.ja", "一"), write(tmp_path / "wmt22.en", "one")
+    assert [tuple(r) for r in files.test_set(spark, "wmt22", {}, str(tmp_path)).collect()] == [("一", "one")]
+
+
+def test_digest_and_status(spark, tmp_path):
+    import hashlib
+
+    write(tmp_path / "x.bin", "abc")
+    assert files.digest(spark.read.format("binaryFile").load(str(tmp_path / "x.bin"))).first()["sha256"] == hashlib.sha256(b"abc\n").hexdigest()
+    assert tuple(files.job_status(spark.createDataFrame([(1, None, 3), (None, 2, 4)], "completed int, failed int, total int")).first()) == (2, 1, 2, 7)
+
+
 def test_json_lines(spark, tmp_path):
     pairs = spark.createDataFrame([("一", "one"), ("二", "two")], files.PAIR)
     assert files.write_pairs(pairs, str(tmp_path / "p")) == 2

@@ -98,6 +98,21 @@ def test_batches(spark):
     assert tok.token_batches(rows.where("false"), 64).count() == 0
 
 
+def test_loader(spark):
+    rows = [(i, [5] * (i % 7 + 1), [1] + [6] * (i % 3 + 1)) for i in range(120)]
+    store = spark.createDataFrame(rows, "idx long, src array<int>, tgt array<int>").withColumn("length", F.greatest(F.size("src"), F.size("tgt")))
+    seen, sizes = [], []
+    for batch in tok.epochs(store, 64, seed=3):
+        seen += [r["idx"] for r in batch]
+        assert len({len(r["src"]) for r in batch}) == len({len(r["tgt"]) for r in batch}) == 1
+        sizes.append(len(batch) * max(len(batch[0]["src"]), len(batch[0]["tgt"])))
+        real = {r["idx"]: [x for x in r["src"] if x] for r in batch}
+        assert all(real[i] == rows[i][1] for i in real)
+        if len(seen) >= 240:
+            break
+    assert sorted(seen[:120]) == sorted(seen[120:]) == list(range(120)) and seen[:120] != seen[120:] and max(sizes) <= 64
+
+
 def test_offsets_and_output_ids(spark):
     rows = spark.createDataFrame([(5, 3), (1, 4), (9, 2)], "i long, n long")
     assert [r["n_off"] for r in tok.offsets(rows, "i", ["n"]).orderBy("i").collect()] == [0, 4, 7]
