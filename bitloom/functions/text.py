@@ -7,6 +7,7 @@ module with them (see the package).
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,9 +29,8 @@ def nfkc(text: Column) -> Column:
 
     @F.arrow_udf("string")
     def normalized(texts: pa.Array) -> pa.Array:
-        import pyarrow.compute as pc
-
-        return pc.utf8_normalize(texts, form="NFKC")
+        made = [t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()]
+        return pa.array(made, pa.string())
 
     ascii_only = text.rlike(r"^[\x00-\x7F]*$")
     return F.when(ascii_only, text).otherwise(normalized(F.when(~ascii_only, text)))

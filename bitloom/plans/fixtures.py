@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table, in the folder that driver and executors share (the warehouse where none is named)."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def kana_image(text: Column) -> Column:
     return F.translate(F.lower(text), LATIN, KANA)
 

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as tx
-from bitloom.operators import corpus, hygiene, metrics
+from bitloom.operators import annotation, corpus, hygiene, metrics
 from bitloom.operators import tokenizer as tok
 from bitloom.plans import fixtures as fx
-from bitloom.sources import files
+from bitloom.sources import files, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +88,14 @@ def _(s, d):
     return fx.table(s, d, "documents").select("doc_id", tx.split_sentences(x).alias("sentences"))
 
 
+@query("p8_plain_sentences", """SELECT doc_id, len(s)::INT AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(
+regexp_extract_all(translate(text, '.()[]{}', '。'), '[^。！？!?]*[。！？!?]|[^。！？!?]+$'), lambda y: regexp_replace(y, '^\\s+|\\s+$', '', 'g')), lambda y: y <> '') AS s FROM documents)""")
+def _(s, d):
+    """Without openers and closers, which the other query of sentences has."""
+    cut = fx.table(s, d, "documents").select("doc_id", tx.split_sentences(F.translate("text", ".()[]{}", "。")).alias("s"))
+    return cut.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
 @query("p9_s4_f11_crawl", with_(fx.PAIRS, fx.CRAWL) + rf""", parts AS (SELECT doc_id, line_no, string_split(value, chr(9)) AS p FROM crawl),
 found AS (SELECT doc_id, line_no, len(p) AS n,
   list_filter(list_transform(p, lambda x: TRY_CAST(regexp_replace(x, '^\s+|\s+$', '', 'g') AS DOUBLE)), lambda v: v IS NOT NULL AND v >= 0 AND v <= 1)[1] AS score,
@@ -103,10 +111,8 @@ def _(s, d):
 CASE WHEN a >= 0 AND b > a THEN a || ':' || b END AS said FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT - 3 AS a, l_linenumber * 7 AS b FROM lineitem)""")
 def _(s, d):
     raw = F.concat_ws(":", (F.col("l_quantity").cast("int") - 3).cast("string"), (F.col("l_linenumber") * 7).cast("string"))
-    part = lambda k: F.try_element_at(F.split(raw, ":"), F.lit(k)).try_cast("int")
-    ok = (part(1) >= 0) & (part(2) > part(1))
-    return fx.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(ok, part(1)).alias("span_start"), F.when(ok, part(2)).alias("span_end"),
-                                             F.when(ok, F.concat_ws(":", part(1).cast("string"), part(2).cast("string"))).alias("said"))
+    rows = fx.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", annotation.read_span(raw).alias("span"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), F.when(F.col("span").isNotNull(), annotation.span_text(F.col("span"))).alias("said"))
 
 
 # kanji and katakana for the tables' Latin text: vowels become kanji, some letters katakana
@@ -398,13 +404,16 @@ def _(s, d):
     return fx.pairs(s, d).withColumn("_r", place).where((F.col("_r") <= 20) & (tx.strip(F.col("en_raw")) != "")).select("source", *IDENTITY)
 
 
-@query("s1_j8_zip", """WITH n AS (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS i FROM conversations)
-SELECT a.i AS line_no, a.text AS ja, b.text AS en FROM n a JOIN n b ON a.i = b.i AND a.role = 'user' AND b.role = 'assistant'""")
+@query("s1_j8_zip", """WITH l AS (SELECT role, conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS p FROM conversations), u AS (SELECT role, conv_id, turn, unnest(p) AS line, unnest(range(0, len(p))) AS k FROM l),
+n AS (SELECT role, line, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, k) - 1 AS i FROM u)
+SELECT a.i AS line_no, a.line AS ja, b.line AS en FROM n a JOIN n b ON a.i = b.i AND a.role = 'user' AND b.role = 'assistant'""")
 def _(s, d):
-    place = F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn")).cast("long")
-    n = fx.table(s, d, "conversations").select("role", "text", place.alias("line_no"))
-    side = lambda role, name: n.where(F.col("role") == role).select("line_no", F.col("text").alias(name))
-    return side("user", "ja").join(side("assistant", "en"), "line_no")
+    """What users say and what assistants say, each in its file of lines, line by line."""
+    path = fx.scratch(s, "sides")
+    for role in ("user", "assistant"):
+        said = fx.table(s, d, "conversations").where(F.col("role") == role).orderBy("conv_id", "turn")
+        said.select(F.coalesce("text", F.lit("")).alias("value")).write.text(f"{path}.{role}")
+    return files.parallel(s, f"{path}.user", f"{path}.assistant")
 
 
 @query("u1_u2_union", "SELECT lang, count(*) AS n, sum(length(t))::BIGINT AS chars FROM (SELECT lang, text AS t FROM documents UNION ALL SELECT 'bench', text FROM benchmark) GROUP BY lang")
@@ -490,6 +499,15 @@ def _(s, d):
     return fx.table(s, d, "embeddings").select("vec_id", x.alias("x"), gold.alias("gold")).select("vec_id", F.round(metrics.smoothed_loss(F.col("x"), F.col("gold"), 0.1), 9).alias("loss"))
 
 
+@query("a18_mean_loss", """WITH t AS (SELECT embedding::DOUBLE[] AS x, (vec_id % len(embedding))::INT AS gold FROM embeddings), m AS (SELECT x, gold, list_max(x) AS top FROM t),
+l AS (SELECT x, gold, top + ln(list_sum(list_transform(x, lambda v: exp(v - top)))) AS z FROM m)
+SELECT round(sum(CASE WHEN gold = 0 THEN 0.0 ELSE 0.9 * (z - x[gold + 1]) + 0.1 * (z - list_sum(x) / len(x)) END) / greatest(count(*) FILTER (WHERE gold <> 0), 1), 6) AS loss, count(*) FILTER (WHERE gold <> 0) AS n_tokens FROM l""")
+def _(s, d):
+    x, gold = F.transform("embedding", lambda v: v.cast("double")), (F.col("vec_id") % F.size("embedding")).cast("int")
+    each = fx.table(s, d, "embeddings").select(metrics.smoothed_loss(x, gold, 0.1).alias("loss"), (gold != 0).cast("long").alias("n_tokens"))
+    return metrics.mean_loss(each).select(F.round("loss", 6).alias("loss"), "n_tokens")
+
+
 @query("m2_positions", """SELECT pos, dim::INT AS dim, round(CASE WHEN dim % 2 = 0 THEN sin(pos / pow(10000.0, (dim - dim % 2) / 16.0)) ELSE cos(pos / pow(10000.0, (dim - dim % 2) / 16.0)) END, 9) AS value
 FROM (SELECT unnest(range(0, 64)) AS pos), (SELECT unnest(range(0, 16)) AS dim)""")
 def _(s, d):
@@ -539,13 +557,16 @@ def _(s, d):
 
 
 def token_rows(s: SparkSession, d: str) -> DataFrame:
-    """idx, src, tgt: ids of each document's bytes, at most 128 and 64 of them, as a store has bounds for both sides."""
-    ids = tok.encode_column(fx.table(s, d, "documents").where("text <> ''"), "text", [])  # without merges: bytes
-    src, tgt = tok.as_training_pair(F.col("ids"), F.col("ids"), 128)[0], tok.as_training_pair(F.col("ids"), F.col("ids"), 64)[1]
-    return ids.select(F.col("doc_id").alias("idx"), src.alias("src"), tgt.alias("tgt"))
+    """A store of idx, src, tgt, length: ids of each document's bytes (a vocabulary without merges, so that SQL can tell their
+    number), at most 128 on both sides, which is the bound of such stores."""
+    ids = tok.encode_column(fx.table(s, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "text", [])
+    src, tgt = tok.as_training_pair(F.col("ids"), F.col("ids"), 128)
+    path = fx.scratch(s, "store")
+    stores.write_store(ids.select(F.col("doc_id").alias("idx"), src.alias("src"), tgt.alias("tgt")), path)
+    return stores.read_store(s, path)
 
 
-LENGTHS = """lens AS (SELECT doc_id AS idx, (least(octet_length(encode(text)), 127) + 1)::BIGINT AS src, (least(octet_length(encode(text)), 62) + 2)::BIGINT AS tgt FROM documents WHERE text <> '')"""
+LENGTHS = """lens AS (SELECT doc_id AS idx, (least(octet_length(encode(coalesce(text, ''))), 127) + 1)::BIGINT AS src, (least(octet_length(encode(coalesce(text, ''))), 126) + 2)::BIGINT AS tgt FROM documents)"""
 
 
 @query("w2_t8_s13_s14_offsets", with_(LENGTHS) + """SELECT idx, coalesce(sum(src) OVER w, 0)::BIGINT AS src_off, src AS src_len, coalesce(sum(tgt) OVER w, 0)::BIGINT AS tgt_off, tgt AS tgt_len, greatest(src, tgt) AS length
@@ -568,7 +589,25 @@ def _(s, d):
 
 @query("t9_w9_x8_x12_batches")
 def _(s, d):
-    return tok.token_batches(token_rows(s, d).select("idx", F.greatest(F.size("src"), F.size("tgt")).alias("length")), 512)
+    return tok.token_batches(token_rows(s, d).select("idx", "length"), 4096)
+
+
+@query("t9_w9_ordered_batches", """WITH RECURSIVE """ + LENGTHS + """, rows AS (SELECT idx, greatest(src, tgt)::INT AS length FROM lens),
+st AS (SELECT ceil(count(*) / greatest(1, 50 * 4096 // greatest(1, floor(avg(length))::INT))::DOUBLE)::BIGINT AS parts, max(idx) AS top FROM rows),
+dealt AS (SELECT idx, length, floor(idx * parts / (top + 1)::DOUBLE)::BIGINT AS g FROM rows, st), placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY length, idx) - 1 AS place FROM dealt),
+walk AS (SELECT g, 0::BIGINT AS place, 0::BIGINT AS batch, 1::BIGINT AS size FROM placed WHERE place = 0
+UNION ALL SELECT w.g, p.place, w.batch + CASE WHEN (w.size + 1) * p.length > 4096 THEN 1 ELSE 0 END, CASE WHEN (w.size + 1) * p.length > 4096 THEN 1 ELSE w.size + 1 END FROM walk w JOIN placed p ON p.g = w.g AND p.place = w.place + 1)
+SELECT w.g || '-' || batch AS batch_id, w.place::INT AS place, idx, length FROM walk w JOIN placed p ON p.g = w.g AND p.place = w.place""")
+def _(s, d):
+    """Batches in the order of ids, not shuffled, as SQL can fold them."""
+    return tok.token_batches(token_rows(s, d).select("idx", "length"), 4096, shuffle=False)
+
+
+@query("a6_byte_stats", """WITH t AS (SELECT octet_length(encode(coalesce(text, ''))) AS v, length(coalesce(text, '')) AS c FROM documents)
+SELECT round(sum(v) / count(*)::DOUBLE, 2) AS mean, list_sort(list(v))[round_even(0.95 * (count(*) - 1), 0)::INT + 1]::BIGINT AS p95, sum(c) / sum(v)::DOUBLE AS chars_per_token FROM t""")
+def _(s, d):
+    docs = fx.table(s, d, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    return tok.token_stats(tok.encode_column(docs, "text", []), F.col("text"), F.col("ids"))
 
 
 @query("a6_token_stats")
@@ -618,4 +657,7 @@ def _(s, d):
 
 @query("s9_s12_s24_reports", FUNNEL + f"SELECT coalesce(source, 'ALL') AS source, input_pairs, kept, keep_rate FROM (SELECT source, {COUNTS} FROM staged GROUP BY ROLLUP (source))")
 def _(s, d):
-    return corpus.funnel_counts(corpus.funnel_stages(fx.pairs(s, d)), totals=True).select("source", "input_pairs", "kept", "keep_rate")
+    """Saved as JSON and read back, as a later report would."""
+    path, counts = fx.scratch(s, "funnel"), corpus.funnel_counts(corpus.funnel_stages(fx.pairs(s, d)), totals=True)
+    stores.save_stats(counts, path)
+    return s.read.schema(counts.schema).json(path).select("source", "input_pairs", "kept", "keep_rate")

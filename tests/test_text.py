@@ -98,3 +98,8 @@ def test_refusal(spark):
 def test_numbers(spark):
     rate = lambda step: spark.range(1).select(tx.learning_rate(F.lit(step), 1.0, 1000).alias("y")).first()["y"]
     assert rate(1000) == pytest.approx(1.0) and rate(500) == pytest.approx(0.5) and rate(4000) == pytest.approx(0.5) and rate(0) == pytest.approx(0.001)
+
+
+def test_normalization_of_other_scripts(spark):
+    rows = spark.createDataFrame([(t,) for t in ("Éçeau aian à l'été", "ｶﾞ１２", "plain", "e\u0301", None, "")], "t string")
+    assert [r[0] for r in rows.select(tx.normalize_text(F.col("t"))).collect()] == ["Éçeau aian à l'été", "ガ12", "plain", "é", None, ""]
