@@ -272,11 +272,13 @@ def as_training_pair(src: Column, tgt: Column, longest: int) -> tuple[Column, Co
 # --- stores, batches, padding ----------------------------------------------------------------------
 
 
-def offsets(rows: DataFrame, order: str, lengths: list[str], parts: int = 64) -> DataFrame:
+def offsets(rows: DataFrame, order: str, lengths: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` with <length>_off, the running sum of each length before the row, in the order of ids.
 
-    Two levels: sums within ranges of ids, and the sums of the ranges before, so that no task has all rows.
+    Two levels: sums within ranges of ids, and the sums of the ranges before, so that no task has all
+    rows. There are as many ranges as shuffle partitions, 64 at least.
     """
+    parts = parts or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(rows.approxQuantile(order, [k / parts for k in range(1, parts)], 0.25 / parts)))
     ranges = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     ranged = rows.withColumn("_range", F.size(F.filter(ranges, lambda c: c <= F.col(order))))

@@ -24,19 +24,24 @@ def read_store(spark: SparkSession, path: str, ids: list[int] | None = None) ->
 def export_binary(rows: DataFrame, prefix: str) -> int:
     """For readers outside Spark: <prefix>.src.bin and .tgt.bin (uint16) and .idx.npy (offset and length of both, int64).
 
-    Rows are streamed through the driver in order, partition by partition; only the index stays in memory.
+    Rows are streamed through the driver in order, partition by partition, and the index is written as
+    they come; nothing that grows with the rows stays in memory.
     """
-    index, at = [], [0, 0]
+    count, at = rows.count(), [0, 0]
+    index = np.lib.format.open_memmap(f"{prefix}.idx.npy", "w+", np.int64, (count, 4)) if count else np.zeros((0, 4), np.int64)
     with open(f"{prefix}.src.bin", "wb") as src, open(f"{prefix}.tgt.bin", "wb") as tgt:
-        for row in rows.orderBy("idx").toLocalIterator():
-            entry = []
+        for i, row in enumerate(rows.orderBy("idx").toLocalIterator()):
+            entry: list[int] = []
             for k, (file, ids) in enumerate(((src, row["src"]), (tgt, row["tgt"]))):
                 file.write(np.array(ids, np.uint16).tobytes())
                 entry += [at[k], len(ids)]
                 at[k] += len(ids)
-            index.append(entry)
-    np.save(f"{prefix}.idx.npy", np.array(index, np.int64).reshape(-1, 4))
-    return len(index)
+            index[i] = entry
+    if count:
+        index.flush()
+    else:
+        np.save(f"{prefix}.idx.npy", index)
+    return count
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
