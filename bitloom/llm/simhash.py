@@ -8,7 +8,8 @@ adders on such words, and a block is abandoned as soon as all its 64 distances e
 
 A bucket gives the links of its components' members to one of them, never all its pairs. Buckets
 beyond BUCKET_MAX are dealt out as pairs of tiles, so every pair is still compared but no task
-holds the bucket.
+holds the bucket. Keys grow with the logarithm of the rows (``blocks_for``, ``tables_for``), so that
+unrelated fingerprints don't fill the buckets; what is found doesn't depend on that.
 
 The pipeline's near duplicates take such components as candidates only: the sets of shingles of a
 component's members meet, and pairs of at least the required Jaccard similarity are linked anew.
@@ -16,6 +17,7 @@ component's members meet, and pairs of at least the required Jaccard similarity
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +33,8 @@ from bitloom.llm.graph import components
 SEED, SHINGLE, RADIUS, BLOCKS = 42, 4, 4, 6
 #: Fingerprints of a bucket that one task compares with each other; larger buckets are tiled.
 BUCKET_MAX = 8192
+#: Unrelated fingerprints that a bucket may hold on average, as a power of two: keys have the bits for that.
+BUCKET_BITS = 8
 #: Fingerprints that are compared in one go, and pairs of a query and a block.
 CHUNK, PAIRS = 1 << 16, 1 << 17
 
@@ -91,6 +95,17 @@ def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[list[int]]:
     return [[_signed(sum(chosen))] for chosen in combinations(ones, blocks - radius)]
 
 
+def blocks_for(rows: int, radius: int = RADIUS) -> int:
+    """The least number of blocks (BLOCKS or more) whose shortest keys have bits enough for ``rows`` fingerprints.
+
+    Any number is exact. 20 bits in 15 tables do below 2^28 rows, 27 in 35 below 2^35, 32 in 70 below 2^40.
+    """
+    blocks = max(BLOCKS, radius + 1)
+    while blocks < 64 and (blocks - radius) * (64 // blocks) < rows.bit_length() - BUCKET_BITS:
+        blocks += 1
+    return blocks
+
+
 def random_masks(tables: int, bits: int, words: int, seed: int = 5) -> list[list[int]]:
     """``tables`` masks of ``bits`` of the 64 * words bits each, drawn from a fixed seed."""
     rng = np.random.default_rng(seed)
@@ -337,7 +352,8 @@ def query(docs: DataFrame) -> DataFrame:
     Null texts and texts without words have fingerprint zero and are linked like any other. Null
     ids stay rows of their own; they count for no component's smallest id.
     """
-    found = cut(classes(cut(fingerprints(docs), "simhash"), block_masks(), RADIUS), "classes")
+    prints = cut(fingerprints(docs), "simhash")
+    found = cut(classes(prints, block_masks(RADIUS, blocks_for(prints.count())), RADIUS), "classes")
     # written first: Spark splits a skewed join only if its sides come straight from shuffles
     smallest = cut(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     digits = F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0"))
@@ -346,6 +362,7 @@ def query(docs: DataFrame) -> DataFrame:
 
 #: The pipeline's near duplicates: distinct five-word shingles, 128 bits for candidates. At a Jaccard similarity of 0.8
 #: two fingerprints differ in 19.5 of 128 bits on average (the angle's share), at 0.9 in 13.3; unrelated ones in 64.
+#: STAGE_BITS in STAGE_TABLES are the least; ``tables_for`` has more for more rows.
 STAGE_SHINGLE, STAGE_SEEDS, STAGE_RADIUS = 5, (42, 43), 31
 STAGE_TABLES, STAGE_BITS, STAGE_FIRST = 96, 16, 12
 #: The least Jaccard similarity of near duplicates, as a fraction.
@@ -489,6 +506,18 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text").alias("row")
 
 
+def tables_for(rows: int) -> tuple[int, int]:
+    """Tables and bits of their random keys for ``rows`` fingerprints; a pair is found as surely as with the least.
+
+    A key of ``bits`` of 128 bits is equal with probability (1 - 19.5 / 128) ** bits at the least
+    similarity. The bits grow with the logarithm of the rows, the tables as these probabilities fall:
+    about as the fourth root of the rows, where tiles of full buckets would grow as the rows.
+    """
+    bits = max(STAGE_BITS, rows.bit_length() - BUCKET_BITS)
+    agree = 1 - 19.5 / (64 * len(STAGE_SEEDS))
+    return math.ceil(STAGE_TABLES * math.log1p(-(agree**STAGE_BITS)) / math.log1p(-(agree**bits))), bits
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """row (see ``row_key``) and _keep of each different row: of each group of near duplicates the one with the smallest id is kept.
 
@@ -499,7 +528,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", "text", row_key())
     prints = cut(set_fingerprints(texts, STAGE_SHINGLE, STAGE_SEEDS), "simhash")
-    loose = cut(classes(prints, random_masks(STAGE_TABLES, STAGE_BITS, len(STAGE_SEEDS)), STAGE_RADIUS, STAGE_FIRST).drop("fp"), "classes")
+    tables, bits = tables_for(prints.count())
+    masks = random_masks(tables, bits, len(STAGE_SEEDS))
+    loose = cut(classes(prints, masks, STAGE_RADIUS, STAGE_FIRST * tables // STAGE_TABLES).drop("fp"), "classes")
     roots = similar(texts.select("row", "text"), loose).select(F.col("u").alias("root"), F.col("v").alias("node"))
     found = cut(loose.join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("component")), "similar")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")

@@ -638,8 +638,10 @@ def test_bit_sliced_distances():
         assert (label == reach.argmax(1)).all()
 
 
-def test_every_pair_within_the_radius_shares_a_block():
-    masks = [m[0] % (1 << 64) for m in simhash.block_masks()]
+@pytest.mark.parametrize("rows", [0, 1 << 30, 1 << 37])
+def test_every_pair_within_the_radius_shares_a_block(rows):
+    masks = [m[0] % (1 << 64) for m in simhash.block_masks(4, simhash.blocks_for(rows))]
+    assert min(m.bit_count() for m in masks) >= rows.bit_length() - simhash.BUCKET_BITS
     rng = random.Random(1)
     for _ in range(3000):
         flips = sum(1 << b for b in rng.sample(range(64), 4))
@@ -651,7 +653,17 @@ def kept_ids(df):
     return {r["doc_id"] for r in df.select("doc_id", simhash.row_key()).join(kept, "row", "left_semi").collect()}
 
 
-def test_stage_finds_near_duplicates(spark):
+def test_more_rows_get_longer_keys_and_find_as_much():
+    agree = 1 - 19.5 / 128
+    for rows in (0, 1000, 1 << 24, 1 << 30, 1 << 36):
+        tables, bits = simhash.tables_for(rows)
+        assert bits >= 16 and rows >> bits <= 1 << simhash.BUCKET_BITS
+        assert (1 - agree**bits) ** tables <= (1 - agree**16) ** 96 * 1.0001
+
+
+@pytest.mark.parametrize("fullness", [8, -16])  # -16: keys as for 2^30 rows
+def test_stage_finds_near_duplicates(spark, monkeypatch, fullness):
+    monkeypatch.setattr(simhash, "BUCKET_BITS", fullness)
     rng = random.Random(6)
     texts = [prose(i, 200) for i in range(60)]
     for i in range(60):
