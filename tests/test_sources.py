@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bitloom.sources import files
+from bitloom.sources import files, stores
 
 
 def write(path, *rows):
@@ -98,3 +98,18 @@ def test_stream(spark, tmp_path):
     put(3, "さようなら")
     run()
     assert {r["doc_id"]: r["stage"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: None, 2: "dedup", 3: None}
+
+
+def test_first_lines_of_each_source(spark):
+    rows = spark.createDataFrame([(s, n) for s in "ab" for n in range(5)] + [("c", 0)], "source string, line_no long").repartition(3)
+    found = files.first_of_source(rows, 2)
+    assert found.columns == ["source", "line_no"]
+    assert sorted(map(tuple, found.collect())) == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0)]
+    assert files.first_of_source(rows.where("false"), 2).count() == 0
+
+
+def test_saved_statistics_replace_older_ones(spark, tmp_path):
+    path = str(tmp_path / "stats")
+    for n in (1, 2):
+        stores.save_stats(spark.createDataFrame([(n, "x")], "total long, source string"), path)
+    assert [tuple(r) for r in spark.read.schema("total long, source string").json(path).collect()] == [(2, "x")]

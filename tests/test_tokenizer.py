@@ -118,3 +118,9 @@ def test_offsets_and_output_ids(spark):
     assert [r["n_off"] for r in tok.offsets(rows, "i", ["n"]).orderBy("i").collect()] == [0, 4, 7]
     cut = lambda ids: spark.createDataFrame([(ids,)], "x array<int>").select(tok.output_ids(F.col("x")).alias("y")).first()["y"]
     assert cut([1, 20, 21, 2, 0]) == [20, 21] and cut([20]) == [20] and cut([1, 2]) == [] and cut([]) == []
+
+
+def test_training_pairs_are_bounded_and_end(spark):
+    rows = spark.createDataFrame([([10, 11, 12, 13], [20, 21, 22]), ([], [])], "s array<int>, t array<int>")
+    src, tgt = tok.as_training_pair(F.col("s"), F.col("t"), 4)
+    assert [tuple(r) for r in rows.select(src, tgt).collect()] == [([10, 11, 12, tok.EOS], [tok.BOS, 20, 21, tok.EOS]), ([tok.EOS], [tok.BOS, tok.EOS])]
