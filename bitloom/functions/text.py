@@ -20,6 +20,9 @@ RUBY_KANJI = r"\x{4E00}-\x{9FFF}\x{3005}"
 CJK = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]"
 RESERVED = r"[\x{E000}-\x{E01F}]"
 REFUSAL = r"(?iU)\b(I('?m| am| cannot| can't)|sorry|as an ai|unable to)\b"
+#: The same where only ASCII letters, digits and _ make words, as in DuckDB's expressions; there ſ is an s, and no part of a word.
+_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+REFUSAL_ASCII = rf"(?i){_EDGE}(I('?m| am| cannot| can't)|[sſ]orry|a[sſ] an ai|unable to){_EDGE}"
 TERMINATORS = "。！？!?"
 OPENERS, CLOSERS = "「『（(〈《【〔", "」』）)〉》】〕"
 

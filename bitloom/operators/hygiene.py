@@ -18,13 +18,16 @@ def bakeoff_eligible(ja: Column) -> Column:
     return F.length(ja).between(15, 150) & ja.rlike(tx.CJK)
 
 
-def teacher_reason(ja: Column, en: Column) -> Column:
-    """Why a teacher's translation is unclean: blank, refusal, cjk or ratio; null if it is clean."""
+def teacher_reason(ja: Column, en: Column, refusal: str = tx.REFUSAL) -> Column:
+    """Why a teacher's translation is unclean: blank, refusal, cjk or ratio; null if it is clean.
+
+    ``refusal`` is the expression that a refusal's beginning meets; by default letters of any script make words.
+    """
     said = tx.strip(en)
     ratio = F.length(said) / F.greatest(F.length(ja), F.lit(1))
     return (
         F.when(en.isNull() | (said == ""), "blank")
-        .when(F.substring(said, 1, 40).rlike(tx.REFUSAL), "refusal")
+        .when(F.substring(said, 1, 40).rlike(refusal), "refusal")
         .when(tx.cjk_fraction(said) > 0.15, "cjk")
         .when(~ratio.between(0.3, 8.0), "ratio")
     )
