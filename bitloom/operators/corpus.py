@@ -133,13 +133,18 @@ def semantic_stage(staged: DataFrame, score: Column, flagged: Column, threshold:
 # --- statistics ------------------------------------------------------------------------------------
 
 
-def length_stats(rows: DataFrame, length: Column, by: list[str] | None = None) -> DataFrame:
+def length_stats(
+    rows: DataFrame, length: Column, by: list[str] | None = None, sums: dict[str, Column] | None = None, more: list[Column] | None = None
+) -> DataFrame:
     """n, mean (2 decimals), p50, p95, max of a length; percentiles by nearest rank with half-even rounding; 0 of nothing.
 
-    From the exact histogram, so rows are aggregated before they are shuffled.
+    From the exact histogram, so rows are aggregated before they are shuffled. ``more``: further aggregates of the histogram
+    (length v, count c), which has the ``sums`` too.
     """
     by = by or []
-    histogram = rows.select(*by, length.alias("v")).where("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("c"))
+    sums = {name: c.alias(name) for name, c in (sums or {}).items()}
+    # lengths that are null are one group; asked for before the aggregate, a costly length would be evaluated twice
+    histogram = rows.select(*by, length.alias("v"), *sums.values()).groupBy(*by, "v").agg(F.count("v").alias("c"), *[F.sum(name).alias(name) for name in sums]).where("c > 0")
     part = Window.partitionBy(*(by or [F.lit(0)]))
     cumulated = histogram.withColumn("cum", F.sum("c").over(part.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "n", F.sum("c").over(part)
@@ -149,7 +154,7 @@ def length_stats(rows: DataFrame, length: Column, by: list[str] | None = None) -
     return cumulated.groupBy(*by).agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
         F.coalesce(F.round(F.sum(F.col("v") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0)), 2), F.lit(0.0)).alias("mean"),
-        at(50).alias("p50"), at(95).alias("p95"), F.coalesce(F.max("v"), F.lit(0)).cast("long").alias("max"),
+        at(50).alias("p50"), at(95).alias("p95"), F.coalesce(F.max("v"), F.lit(0)).cast("long").alias("max"), *(more or []),
     )
 
 

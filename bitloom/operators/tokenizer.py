@@ -10,10 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.operators import annotation as an
+from bitloom.sources.tables import scratch
 
 # Special tokens in the order of their ids.
 SPECIALS = [("PAD", None), ("BOS", None), ("EOS", None), ("HEADER", an.HEADER), ("TOKEN", an.TOKEN), ("WORD", an.WORD), ("SENTENCE", an.SENTENCE),
@@ -21,8 +24,14 @@ SPECIALS = [("PAD", None), ("BOS", None), ("EOS", None), ("HEADER", an.HEADER),
 PAD, BOS, EOS = 0, 1, 2
 OFFSET, BYTES = len(SPECIALS), 256
 VERSION = 1
-#: Different pre-tokens that the driver takes to find merges.
-MOST_WORDS = 20_000_000
+#: Different pre-tokens that the driver takes; of more, about as many to guess merges from, which all words then confirm.
+MOST_WORDS = 300_000
+#: Symbols of words that a task holds at once, and characters of texts that it encodes at once.
+CHUNK = 1 << 20
+#: Merges up to which new words of a batch are encoded together, a pass for each merge.
+MOST_PASSES = 1000
+#: Stands behind each word among symbols.
+END = 0xFFFFFFFF
 
 _HAN, _HIRA, _KATA = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}", r"\x{3040}-\x{309F}", r"\x{30A0}-\x{30FF}\x{FF66}-\x{FF9D}"
 #: Runs of one script; the last space before Latin letters or digits belongs to them.
@@ -54,70 +63,205 @@ def pair_counts(words: DataFrame) -> DataFrame:
 # --- training --------------------------------------------------------------------------------------
 
 
-def train_merges(freqs: dict[bytes, int], count: int) -> list[Pair]:
-    """``count`` merges, or as many as there are: each the most frequent adjacent pair, of equals the smallest.
+class Words:
+    """Words as one array of symbols, linked to their neighbours within the word, and the places of each pair."""
 
-    All words lie in one array of symbols, linked to their neighbours within the word. A merge looks
-    up the places of its pair, joins them all at once and recounts the pairs that begin at or before
-    them. A heap holds each pair with a count it had; an entry whose count is out of date is dropped.
-    """
-    words = [w for w in freqs if w]
-    symbol = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-    lengths = np.array([len(w) for w in words], np.int64)
-    weight = np.repeat(np.array([freqs[w] for w in words], np.int64), lengths)
-    following, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
-    ends = np.cumsum(lengths)
-    following[ends - 1] = -1
-    before[ends - lengths] = -1
-
-    def keys(places: np.ndarray) -> np.ndarray:
-        return symbol[places] << 32 | symbol[following[places]]
-
-    places_of: defaultdict[int, list[np.ndarray]] = defaultdict(list)
-    counts: dict[int, int] = {}
-    heap: list[tuple[int, int]] = []
-
-    def recount(gone: np.ndarray, gone_keys: np.ndarray, come: np.ndarray) -> None:
-        """Pairs that begin at ``gone`` were there, those that begin at ``come`` are now."""
-        come_keys = keys(come)
-        changed, which = np.unique(np.concatenate([gone_keys, come_keys]), return_inverse=True)
-        by = np.zeros(len(changed), np.int64)
-        np.add.at(by, which, np.concatenate([-weight[gone], weight[come]]))
-        for key, n in zip(changed[by != 0].tolist(), by[by != 0].tolist(), strict=True):
-            counts[key] = counts.get(key, 0) + n
-            if counts[key] > 0:
-                heapq.heappush(heap, (-counts[key], key))
-        order = np.argsort(come_keys, kind="stable")
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, freqs: np.ndarray) -> None:
+        """``symbols``: those of all words, none of them empty, one after the other."""
+        self.symbol, self.weight = symbols.astype(np.int64), np.repeat(freqs.astype(np.int64), lengths)
+        self.following, self.before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        ends = np.cumsum(lengths)
+        self.following[ends - 1] = -1
+        self.before[ends - lengths] = -1
+        self.places: defaultdict[int, list[np.ndarray]] = defaultdict(list)
+
+    def _keys(self, places: np.ndarray) -> np.ndarray:
+        return self.symbol[places] << 32 | self.symbol[self.following[places]]
+
+    def _recount(self, gone: np.ndarray, gone_keys: np.ndarray, come: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that begin at ``gone`` were there, those that begin at ``come`` are now: keys and what their counts change by."""
+        come_keys = self._keys(come)
+        order = np.argsort(come_keys)
         arranged = come_keys[order]
         cuts = np.flatnonzero(arranged[1:] != arranged[:-1]) + 1
         for part in np.split(come[order], cuts) if len(order) else []:
-            places_of[int(keys(part[:1])[0])].append(part)
-
-    none = np.zeros(0, np.int64)
-    recount(none, none, np.flatnonzero(following >= 0))
-    merges: list[Pair] = []
-    while heap and len(merges) < count:
-        n, best = heapq.heappop(heap)
-        if counts.get(best, 0) != -n:
-            continue
-        a, b = best >> 32, best & 0xFFFFFFFF
-        at = np.unique(np.concatenate(places_of.pop(best)))
+            self.places[int(self._keys(part[:1])[0])].append(part)
+        weights = self.weight[come[order]]
+        if len(gone):
+            arranged, weights = np.concatenate([gone_keys, come_keys]), np.concatenate([-self.weight[gone], self.weight[come]])
+            order = np.argsort(arranged)
+            arranged, weights = arranged[order], weights[order]
+            cuts = np.flatnonzero(arranged[1:] != arranged[:-1]) + 1
+        begins = np.concatenate([[0], cuts]) if len(arranged) else np.zeros(0, np.int64)
+        by = np.add.reduceat(weights, begins) if len(begins) else weights
+        return arranged[begins][by != 0], by[by != 0]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of all pairs; to be asked once, before the first merge."""
+        none = np.zeros(0, np.int64)
+        return self._recount(none, none, np.flatnonzero(self.following >= 0))
+
+    def merge(self, key: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+        """Join all places of a pair; keys of pairs and what their counts change by."""
+        symbol, following, before = self.symbol, self.following, self.before
+        a, b = key >> 32, key & 0xFFFFFFFF
+        at = np.unique(np.concatenate([np.zeros(0, np.int64), *self.places.pop(key, [])]))
         at = at[(symbol[at] == a) & (following[at] >= 0)]
         at = at[symbol[following[at]] == b]
-        if a == b:  # in a run of equal symbols every second place, from the left
+        if a == b and len(at):  # in a run of equal symbols every second place, from the left
             fresh = np.concatenate([[True], at[1:] != following[at[:-1]]])
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - first) % 2 == 0]
         second = following[at]
         left = before[at]
         gone = np.unique(np.concatenate([left[left >= 0], at, second[following[second] >= 0]]))
-        gone_keys = keys(gone)
+        gone_keys = self._keys(gone)
         after = following[second]
-        symbol[at], symbol[second], following[at] = BYTES + len(merges), -1, after
+        symbol[at], symbol[second], following[at] = new, -1, after
         before[after[after >= 0]] = at[after >= 0]
-        merges.append((int(a), int(b)))
         left = before[at]
-        recount(gone, gone_keys, np.unique(np.concatenate([left[left >= 0], at[after >= 0]])))
+        return self._recount(gone, gone_keys, np.unique(np.concatenate([left[left >= 0], at[after >= 0]])))
+
+
+class Ranking:
+    """Counts of pairs. A heap holds each pair with a count it had; an entry whose count is out of date is dropped."""
+
+    def __init__(self) -> None:
+        self.counts: dict[int, int] = {}
+        self.heap: list[tuple[int, int]] = []
+
+    def add(self, keys: np.ndarray, by: np.ndarray) -> None:
+        for key, n in zip(keys.tolist(), by.tolist(), strict=True):
+            self.counts[key] = self.counts.get(key, 0) + n
+            if self.counts[key] > 0:
+                heapq.heappush(self.heap, (-self.counts[key], key))
+
+    def best(self) -> int | None:
+        """The most frequent pair, of equals the smallest; none if there is no pair."""
+        while self.heap and self.counts.get(self.heap[0][1], 0) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return self.heap[0][1] if self.heap else None
+
+
+def train_merges(freqs: dict[bytes, int], count: int, begun: list[Pair] | None = None) -> list[Pair]:
+    """``count`` merges, or as many as there are: each the most frequent adjacent pair, of equals the smallest. ``begun``: the first of them, if they are given.
+
+    A merge looks up the places of its pair, joins them all at once and recounts the pairs that begin at or before them.
+    """
+    used = [w for w in freqs if w]
+    words = Words(np.frombuffer(b"".join(used), np.uint8), np.array([len(w) for w in used], np.int64), np.array([freqs[w] for w in used], np.int64))
+    ranking, merges = Ranking(), []
+    ranking.add(*words.pairs())
+    while len(merges) < count:
+        best = begun[len(merges)][0] << 32 | begun[len(merges)][1] if len(merges) < len(begun or []) else ranking.best()
+        if best is None:
+            break
+        ranking.add(*words.merge(best, BYTES + len(merges)))
+        merges.append((best >> 32, best & 0xFFFFFFFF))
+    return merges
+
+
+def joined(symbols: np.ndarray, pair: Pair, new: int) -> np.ndarray:
+    """``merged`` for an array of symbols; what separates words is in no pair."""
+    at = np.flatnonzero((symbols[:-1] == pair[0]) & (symbols[1:] == pair[1]))
+    if pair[0] == pair[1] and len(at):
+        fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - first) % 2 == 0]
+    if not len(at):
+        return symbols
+    symbols[at] = new
+    keep = np.ones(len(symbols), bool)
+    keep[at + 1] = False
+    return symbols[keep]
+
+
+def symbols_of(words: list[bytes], merges: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all words after the merges, with END behind each word, and the places of these."""
+    # in 16 bits where they hold all symbols
+    kind = np.uint16 if BYTES + len(merges) < 0xFFFF else np.uint32
+    end = np.iinfo(kind).max
+    symbols = np.frombuffer(b"\0".join([*words, b""]), np.uint8).astype(kind)
+    symbols[np.cumsum(np.array([len(w) + 1 for w in words], np.int64)) - 1] = end
+    for k, pair in enumerate(merges):
+        symbols = joined(symbols, pair, BYTES + k)
+    symbols = symbols.astype(np.uint32)
+    symbols[symbols == end] = END
+    return symbols, np.flatnonzero(symbols == END)
+
+
+def counts_along(words: DataFrame, merges: list[Pair], known: int) -> DataFrame:
+    """(step, pair, n): the counts of all pairs after the first ``known`` merges, and what each later merge changes them by."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                held.append(batch.slice(at, 4096))
+                size += pc.sum(pc.binary_length(held[-1]["word"])).as_py()
+                if size >= CHUNK:
+                    yield words_of(held)
+                    held, size = [], 0
+        if size:
+            yield words_of(held)
+
+    def words_of(held: list[pa.RecordBatch]) -> Words:
+        rows = pa.Table.from_batches(held)
+        symbols, ends = symbols_of(rows["word"].cast("large_binary").to_pylist(), merges[:known])
+        lengths = np.diff(ends, prepend=-1) - 1
+        return Words(symbols[symbols != END], lengths, rows["freq"].to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            steps, pairs, by = [], [], []
+            for k in range(known, len(merges) + 1):
+                keys, n = part.pairs() if k == known else part.merge(merges[k - 1][0] << 32 | merges[k - 1][1], BYTES + k - 1)
+                steps.append(np.full(len(keys), k, np.int32))
+                pairs.append(keys)
+                by.append(n)
+            made = [pa.array(np.concatenate(x)) for x in (steps, pairs, by)]
+            yield pa.RecordBatch.from_arrays(made, ["step", "pair", "n"])
+
+    return words.mapInArrow(run, "step int, pair long, n long").groupBy("step", "pair").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def merges_of(words: DataFrame, count: int, most: int = MOST_WORDS) -> list[Pair]:
+    """``train_merges`` of a table (word, freq) of any size, read several times.
+
+    The driver guesses the merges from about ``most`` of the words: each with a chance in proportion to its
+    frequency, in its own weight where that chance is one. All words are then merged along the guess where they are, and
+    the driver gets the exact counts of pairs at each step: up to the first step at which the guess was wrong
+    all merges are confirmed, and that step's is known. From there it guesses again.
+    """
+    share = 1.0
+    by_freq = words.groupBy("freq").agg(F.count("*").alias("n")).toArrow()
+    freq, n = by_freq["freq"].to_numpy().astype(float), by_freq["n"].to_numpy()
+    if n.sum() > most:
+        low, share = 0.0, 1.0
+        for _ in range(60):
+            middle = (low + share) / 2
+            low, share = (middle, share) if (np.minimum(1, freq * middle) * n).sum() < most else (low, middle)
+    chance = F.least(F.lit(1.0), F.col("freq") * F.lit(share))
+    dealt = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = words.where(dealt < chance).select("word", F.round(F.col("freq") / chance).cast("long").alias("freq")).toArrow()
+    sample = dict(zip(some["word"].cast("binary").to_pylist(), some["freq"].to_pylist(), strict=True))
+    if n.sum() <= most:
+        return train_merges(sample, count)
+    merges: list[Pair] = []
+    while len(merges) < count:
+        known, guess = len(merges), train_merges(sample, count, merges)
+        found = counts_along(words, guess, known).toArrow().sort_by("step")
+        ends = np.searchsorted(found["step"].to_numpy(), np.arange(known, len(guess) + 2))
+        keys, by, ranking = found["pair"].to_numpy(), found["n"].to_numpy(), Ranking()
+        for k in range(known, count):
+            if k <= len(guess):
+                ranking.add(keys[ends[k - known] : ends[k - known + 1]], by[ends[k - known] : ends[k - known + 1]])
+            best = ranking.best()
+            if best is None:
+                return merges
+            merges.append((best >> 32, best & 0xFFFFFFFF))
+            if k >= len(guess) or guess[k] != merges[k]:
+                break
     return merges
 
 
@@ -136,18 +280,16 @@ def merged(word: list[int], pair: Pair, new: int) -> list[int]:
 def train(texts: DataFrame, column: str, vocab: int) -> Tokenizer:
     """A tokenizer of at most ``vocab`` tokens.
 
-    Spark counts the pre-tokens; the merges, one after the other, are found on the driver, which has each
-    different pre-token once. At most MOST_WORDS of them are taken there; with more it is an error, not a
-    sample: raise the bound with the driver's memory (some 100 bytes a letter), or train on fewer texts.
+    Spark counts the pre-tokens and writes them once. The merges follow from all of them; the driver never has
+    more than some MOST_WORDS (see ``merges_of``).
     """
     count = vocab - OFFSET - BYTES
     if count < 0:
         raise ValueError(f"a vocabulary has at least {OFFSET + BYTES} tokens")
-    rows = frequencies(texts, column).where("word <> ''").limit(MOST_WORDS + 1).toArrow()
-    if rows.num_rows > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} different pre-tokens")
-    words = rows["word"].cast("binary").to_pylist()
-    return Tokenizer(train_merges(dict(zip(words, rows["freq"].to_pylist(), strict=True)), count))
+    spark = texts.sparkSession
+    path = scratch(spark, "words")
+    frequencies(texts, column).where("word <> ''").write.parquet(path)
+    return Tokenizer(merges_of(spark.read.schema("word string, freq long").parquet(path), count))
 
 
 class Tokenizer:
@@ -231,15 +373,100 @@ class Tokenizer:
         return cls(data["merges"])
 
 
+def encode_words(words: list[str], merges: list[Pair]) -> list[bytes]:
+    """Ids of each word, as the bytes of int32. Merges in their order give what the lowest rank first gives in each word."""
+    symbols, ends = symbols_of([w.encode() for w in words], merges)
+    held, begins = (symbols + np.uint32(OFFSET)).astype(np.int32).tobytes(), np.concatenate([[0], ends[:-1] + 1]) * 4
+    return [held[i:j] for i, j in zip(begins.tolist(), (ends * 4).tolist(), strict=True)]
+
+
+class BatchEncoder:
+    """Ids of columns of texts, as ``Tokenizer.encode`` gives them; each word is encoded once, new ones together."""
+
+    def __init__(self, tokenizer: Tokenizer, add_bos: bool = False, add_eos: bool = False) -> None:
+        one = lambda i: np.int32(i).tobytes()
+        self.tokenizer, self.before, self.after = tokenizer, one(BOS) if add_bos else b"", one(EOS) if add_eos else b""
+        self.special = {c: one(i) for c, i in tokenizer._special.items()}
+        self.marks = re.compile(f"([{''.join(self.special)}])")
+        self.known = dict(self.special)
+
+    def words(self, text: str) -> list[str]:
+        if not self.marks.search(text):
+            return _PRETOKEN.findall(text)
+        return [w for part in self.marks.split(text) for w in ([part] if part in self.special else _PRETOKEN.findall(part))]
+
+    def some(self, texts: list[str | None]) -> pa.Array:
+        cut = [None if t is None else self.words(t) for t in texts]
+        new = list(set().union(*filter(None, cut)) - self.known.keys())
+        if new and len(self.known) > 500_000:
+            self.known = dict(self.special)
+            new = list(set().union(*filter(None, cut)) - self.known.keys())
+        if len(self.tokenizer.merges) <= MOST_PASSES:
+            made = encode_words(new, self.tokenizer.merges) if new else []
+        else:
+            made = [np.array(self.tokenizer._word(w), np.int32).tobytes() for w in new]
+        self.known.update(zip(new, made, strict=True))
+        ids = [None if c is None else b"".join([self.before, *map(self.known.__getitem__, c), self.after]) for c in cut]
+        offsets = np.concatenate([[0], np.cumsum([0 if i is None else len(i) // 4 for i in ids])]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(filter(None, ids)), np.int32))
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([i is None for i in ids]))
+
+    def column(self, texts: pa.Array) -> pa.Array:
+        """In slices of some CHUNK bytes."""
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0))) // CHUNK
+        cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)]
+        parts = [self.some(texts[i:j].to_pylist()) for i, j in zip(cuts, cuts[1:], strict=False) if i < j]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+
+class BatchDecoder:
+    """Texts of columns of ids, as ``Tokenizer.decode`` gives them."""
+
+    def __init__(self, tokenizer: Tokenizer, skip_special: bool = True) -> None:
+        self.tokenizer, self.skip_special = tokenizer, skip_special
+        pieces = [(c or "").encode() for _, c in SPECIALS] + tokenizer.pieces
+        self.letters = np.frombuffer(b"".join(pieces), np.uint8)
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+
+    def column(self, ids: pa.Array) -> pa.Array:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)) // CHUNK
+        cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(ids)]
+        parts = [self.some(ids[i:j]) for i, j in zip(cuts, cuts[1:], strict=False) if i < j]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    def some(self, ids: pa.Array) -> pa.Array:
+        flat = ids.flatten()
+        values = np.asarray(flat, np.int64) if not flat.null_count else np.array([-1])
+        if not len(values) or values.min() > EOS and values.max() < len(self.lengths):
+            sizes = self.lengths[values]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[values] - (ends - sizes), sizes)
+            letters = self.letters[at]
+            rows = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64))])
+            places = np.concatenate([[0], ends])[rows]
+            begins = places[:-1][places[:-1] < len(letters)]
+            if not (letters[begins] & 0xC0 == 0x80).any():
+                try:
+                    raw = letters.tobytes()
+                    raw.decode()
+                    texts = pa.StringArray.from_buffers(len(ids), pa.py_buffer(places.astype(np.int32)), pa.py_buffer(raw))
+                    return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string())) if ids.null_count else texts
+                except UnicodeDecodeError:
+                    pass
+        # control tokens, unknown ids or broken characters: row by row
+        return pa.array([None if row is None else self.tokenizer.decode(row, self.skip_special) for row in ids.to_pylist()], pa.string())
+
+
 def encode_column(df: DataFrame, column: str, merges: list[Pair], out: str = "ids", add_bos: bool = False, add_eos: bool = False) -> DataFrame:
-    """``df`` with the ids of a text column. Merges are broadcast (their number is the vocabulary's); words are encoded once in each worker."""
+    """``df`` with the ids of a text column. Merges are broadcast (their number is the vocabulary's); words are encoded once in each task."""
     sent = df.sparkSession.sparkContext.broadcast(merges)
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Tokenizer(sent.value)
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = BatchEncoder(Tokenizer(sent.value), add_bos, add_eos)
         for batch in batches:
-            yield batch.map(lambda t: None if t is None else known.encode(t, add_bos, add_eos))
+            yield known.column(batch)
 
     return df.withColumn(out, run(column))
 
@@ -247,11 +474,11 @@ def encode_column(df: DataFrame, column: str, merges: list[Pair], out: str = "id
 def decode_column(df: DataFrame, column: str, merges: list[Pair], out: str = "text", skip_special: bool = True) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(merges)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Tokenizer(sent.value)
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = BatchDecoder(Tokenizer(sent.value), skip_special)
         for batch in batches:
-            yield batch.map(lambda ids: None if ids is None else known.decode([int(i) for i in ids], skip_special))
+            yield known.column(batch)
 
     return df.withColumn(out, run(column))
 
@@ -367,8 +594,8 @@ def epochs(store: DataFrame, budget: int, seed: int = 0) -> Iterator[list]:
 
 
 def token_stats(rows: DataFrame, text: Column, ids: Column) -> DataFrame:
-    """Tokens a sentence (mean, p95) and characters a token."""
+    """Tokens a sentence (mean, p95) and characters a token; texts are encoded once."""
     from bitloom.operators.corpus import length_stats
 
-    sums = rows.agg((F.sum(F.length(text)) / F.nullif(F.sum(F.size(ids)), F.lit(0))).alias("chars_per_token"))
-    return length_stats(rows, F.size(ids)).select("mean", "p95").join(sums, F.lit(True))
+    per = (F.sum("chars") / F.nullif(F.sum(F.col("v") * F.col("c")), F.lit(0))).alias("chars_per_token")
+    return length_stats(rows, F.size(ids), sums={"chars": F.length(text)}, more=[per]).select("mean", "p95", "chars_per_token")

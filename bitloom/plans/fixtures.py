@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.sources.tables import read_table
+from bitloom.sources.tables import read_table, scratch  # noqa: F401  scratch for the queries
 
 LATIN, KANA = "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
 
@@ -19,20 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table, in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse.
-
-    Where all run in one process and the first is unset, a temporary folder that goes at the end.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there and re.match(r"local(\[|$)", spark.sparkContext.master):
-        local = f"/tmp/bitloom-scratch-{spark.sparkContext.applicationId}"
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        there = f"file://{local}"
-    there = there or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def kana_image(text: Column) -> Column:
     return F.translate(F.lower(text), LATIN, KANA)
 
