@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as tx
+from bitloom.operators.lexicon import lexicon, translate_by_lexicon  # noqa: F401  the lexical baseline
 
 
 def source_eligible(ja: Column, en: Column) -> Column:
@@ -69,28 +70,3 @@ def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """``usage`` (model, prompt_tokens, completion_tokens) with cost_usd; null for an unknown model."""
     cost = (F.col("prompt_tokens") * F.col("usd_in") + F.col("completion_tokens") * F.col("usd_out")) / 1e6
     return usage.join(prices, "model", "left").withColumn("cost_usd", cost).drop("usd_in", "usd_out")
-
-
-# --- lexical baseline ------------------------------------------------------------------------------
-
-
-def lexicon(pairs: DataFrame) -> DataFrame:
-    """(src, tgt): for each source token the target token with the highest co-occurrence over frequency.
-
-    ``pairs`` has id and token arrays src and tgt. Co-occurrence counts pairs that have both tokens;
-    the frequency counts every occurrence. Of equals the smallest token wins.
-    """
-    freq = pairs.select(F.explode("tgt").alias("tgt")).groupBy("tgt").agg(F.count("*").alias("freq"))
-    both = pairs.select(F.explode(F.array_distinct("src")).alias("src"), F.array_distinct("tgt").alias("tgts")).select("src", F.explode("tgts").alias("tgt"))
-    scored = both.groupBy("src", "tgt").agg(F.count("*").alias("n")).join(freq, "tgt").withColumn("score", F.col("n") / F.col("freq"))
-    best = scored.groupBy("src").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("tgt").alias("t"))).alias("b"))
-    return best.select("src", F.col("b.t").alias("tgt"))
-
-
-def translate_by_lexicon(sentences: DataFrame, lex: DataFrame) -> DataFrame:
-    """(id, hyp): known tokens replaced in order; a token equal to the last one that was emitted is left out."""
-    tokens = sentences.select("id", F.posexplode("src").alias("pos", "src")).join(lex, "src")
-    last = F.lag("tgt").over(Window.partitionBy("id").orderBy("pos"))
-    kept = tokens.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("_last") != F.col("tgt")))
-    said = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tgt"))), lambda t: t["tgt"]), " ").alias("hyp"))
-    return sentences.select("id").join(said, "id", "left").select("id", F.coalesce("hyp", F.lit("")).alias("hyp"))
