@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bitloom.operators import annotation as an
 from bitloom.operators import model
 from bitloom.operators import tokenizer as tok
+from bitloom.operators.lexicon import written
 from bitloom.plans import fixtures as fx
 from bitloom.plans.queries import query, with_
 
@@ -174,7 +175,8 @@ def _(s, d):
 def _(s, d):
     from bitloom.operators.corpus import split_holdout
 
-    passed = an.gate(an.assemble(annotations(s, d), rules(s)), rules(s))[1].select(F.col("i").alias("row"), F.col("ja").alias("text"))
+    # written once: it is counted twice, sampled and split
+    passed = written(an.gate(an.assemble(annotations(s, d), rules(s)), rules(s))[1].select(F.col("i").alias("row"), F.col("ja").alias("text")), "passed")
     held = min(200, passed.count() // 20)
     return split_holdout(passed, held, 0, 1, [F.col("text")], ["row"]).select(F.col("row").alias("i"), "split")
 
