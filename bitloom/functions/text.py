@@ -35,8 +35,8 @@ def nfkc(text: Column) -> Column:
         made = [t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()]
         return pa.array(made, pa.string())
 
-    ascii_only = text.rlike(r"^[\x00-\x7F]*$")
-    return F.when(ascii_only, text).otherwise(normalized(F.when(~ascii_only, text)))
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, text).otherwise(normalized(F.when(~plain, text)))
 
 
 def strip(text: Column) -> Column:
@@ -111,8 +111,14 @@ def split_sentences(paragraph: Column) -> Column:
     return cut(paragraph)
 
 
+def ascii_only(text: Column) -> Column:
+    """As many bytes as characters."""
+    return F.length(text) == F.octet_length(text)
+
+
 def contains_reserved(text: Column) -> Column:
-    return text.rlike(RESERVED)
+    # most texts are told apart by their lengths, without the expression
+    return ~ascii_only(text) & text.rlike(RESERVED)
 
 
 def cjk_fraction(text: Column) -> Column:
