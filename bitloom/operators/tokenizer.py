@@ -7,6 +7,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ SPECIALS = [("PAD", None), ("BOS", None), ("EOS", None), ("HEADER", an.HEADER),
 PAD, BOS, EOS = 0, 1, 2
 OFFSET, BYTES = len(SPECIALS), 256
 VERSION = 1
-#: Different pre-tokens that the driver takes; of more, about as many to guess merges from, which all words then confirm.
+#: Different pre-tokens that one task takes to find merges; of more, about as many to guess merges from, which all words then confirm.
 MOST_WORDS = 300_000
 #: Symbols of words that a task holds at once, and characters of texts that it encodes at once.
 CHUNK = 1 << 20
@@ -38,6 +39,7 @@ _HAN, _HIRA, _KATA = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}", r"\
 PRETOKEN = rf"(?U)\s?[A-Za-z]+|\s?[0-9]+|[{_HAN}]+|[{_HIRA}]+|[{_KATA}]+|\s+(?=\s[A-Za-z0-9])|\s+|[^\sA-Za-z0-9{_HAN}{_HIRA}{_KATA}]+"
 _PRETOKEN = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), PRETOKEN.removeprefix("(?U)")))
 
+
 Pair = tuple[int, int]
 
 
@@ -143,21 +145,64 @@ class Ranking:
         return self.heap[0][1] if self.heap else None
 
 
-def train_merges(freqs: dict[bytes, int], count: int, begun: list[Pair] | None = None) -> list[Pair]:
+class Exact:
+    """What is known of all words while merges are guessed from a share: counts of all pairs at ``step``, and what merges changed
+    them by. Symbols have names, given to what they are made of, since each guess numbers them by its own order."""
+
+    def __init__(self) -> None:
+        self.step, self.counts = 0, None
+        self.names: dict[Pair, int] = {}
+        self.changes: dict[Pair, tuple[np.ndarray, ...]] = {}
+
+    def name(self, pair: Pair) -> int:
+        return self.names.setdefault(pair, BYTES + len(self.names))
+
+    def learn(self, guess: list[Pair], step: int, keys: np.ndarray, by: np.ndarray) -> None:
+        """What the merge before ``step`` of a guess changed counts by."""
+        named = list(range(BYTES))
+        for a, b in guess[:step]:
+            named.append(self.name((named[a], named[b])))
+        a, b = guess[step - 1]
+        names = np.array(named)
+        self.changes[named[a], named[b]] = names[keys >> 32], names[keys & 0xFFFFFFFF], by
+
+
+def train_merges(freqs: dict[bytes, int], count: int, begun: list[Pair] | None = None, exact: Exact | None = None) -> list[Pair]:
     """``count`` merges, or as many as there are: each the most frequent adjacent pair, of equals the smallest. ``begun``: the first of them, if they are given.
 
     A merge looks up the places of its pair, joins them all at once and recounts the pairs that begin at or before them.
+    ``exact`` stands in for the counts of these words where it has them. Merges that don't touch change the same counts in any
+    order, so that two that were guessed in the wrong order leave little to be guessed again.
     """
     used = [w for w in freqs if w]
     words = Words(np.frombuffer(b"".join(used), np.uint8), np.array([len(w) for w in used], np.int64), np.array([freqs[w] for w in used], np.int64))
-    ranking, merges = Ranking(), []
-    ranking.add(*words.pairs())
+    ranking, merges, begun, exact = Ranking(), [], begun or [], exact or Exact()
+    counted = words.pairs()
+    if exact.counts is None:
+        ranking.add(*counted)
+    named, symbols = list(range(BYTES)), {k: k for k in range(BYTES)}
     while len(merges) < count:
-        best = begun[len(merges)][0] << 32 | begun[len(merges)][1] if len(merges) < len(begun or []) else ranking.best()
+        k = len(merges)
+        if exact.counts is not None and k == exact.step:
+            ranking.add(*exact.counts)
+        best = begun[k][0] << 32 | begun[k][1] if k < len(begun) else ranking.best()
         if best is None:
             break
-        ranking.add(*words.merge(best, BYTES + len(merges)))
-        merges.append((best >> 32, best & 0xFFFFFFFF))
+        a, b = best >> 32, best & 0xFFFFFFFF
+        changed = words.merge(best, BYTES + k)
+        pair = named[a], named[b]
+        named.append(exact.name(pair))
+        symbols[named[-1]] = BYTES + k
+        if pair in exact.changes:
+            firsts, seconds, by = exact.changes[pair]
+            of = np.full(BYTES + len(exact.names), -1)
+            of[list(symbols)] = list(symbols.values())
+            there = (of[firsts] >= 0) & (of[seconds] >= 0)
+            changed = of[firsts[there]] << 32 | of[seconds[there]], by[there]
+        if exact.counts is None or k >= exact.step:
+            ranking.add(*changed)
+            ranking.counts[best] = 0
+        merges.append((a, b))
     return merges
 
 
@@ -225,13 +270,28 @@ def counts_along(words: DataFrame, merges: list[Pair], known: int) -> DataFrame:
     return words.mapInArrow(run, "step int, pair long, n long").groupBy("step", "pair").agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+def merges_in_a_task(words: DataFrame, count: int, begun: list[Pair], exact: Exact) -> list[Pair]:
+    """``train_merges`` of a table (word, freq) that one task holds; the driver gets the merges."""
+    sent = words.sparkSession.sparkContext.broadcast(exact)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freqs: dict[bytes, int] = {}
+        for batch in batches:
+            freqs.update(zip(batch["word"].cast("binary").to_pylist(), batch["freq"].to_pylist(), strict=True))
+        made = np.array(train_merges(freqs, count, begun, sent.value), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(len(made)), made[:, 0], made[:, 1])], ["rank", "a", "b"])
+
+    found = words.repartition(1).mapInArrow(run, "rank long, a long, b long").toArrow().sort_by("rank")
+    return list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+
+
 def merges_of(words: DataFrame, count: int, most: int = MOST_WORDS) -> list[Pair]:
     """``train_merges`` of a table (word, freq) of any size, read several times.
 
-    The driver guesses the merges from about ``most`` of the words: each with a chance in proportion to its
+    No word is on the driver. One task guesses the merges from about ``most`` of the words: each with a chance in proportion to its
     frequency, in its own weight where that chance is one. All words are then merged along the guess where they are, and
     the driver gets the exact counts of pairs at each step: up to the first step at which the guess was wrong
-    all merges are confirmed, and that step's is known. From there it guesses again.
+    all merges are confirmed, and that step's is known. From there it guesses again, with these counts where they hold.
     """
     share = 1.0
     by_freq = words.groupBy("freq").agg(F.count("*").alias("n")).toArrow()
@@ -243,16 +303,17 @@ def merges_of(words: DataFrame, count: int, most: int = MOST_WORDS) -> list[Pair
             low, share = (middle, share) if (np.minimum(1, freq * middle) * n).sum() < most else (low, middle)
     chance = F.least(F.lit(1.0), F.col("freq") * F.lit(share))
     dealt = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = words.where(dealt < chance).select("word", F.round(F.col("freq") / chance).cast("long").alias("freq")).toArrow()
-    sample = dict(zip(some["word"].cast("binary").to_pylist(), some["freq"].to_pylist(), strict=True))
+    some = words.where(dealt < chance).select("word", F.round(F.col("freq") / chance).cast("long").alias("freq"))
     if n.sum() <= most:
-        return train_merges(sample, count)
-    merges: list[Pair] = []
+        return merges_in_a_task(some, count, [], Exact())
+    merges, exact = [], Exact()
     while len(merges) < count:
-        known, guess = len(merges), train_merges(sample, count, merges)
+        known, guess = len(merges), merges_in_a_task(some, count, merges, exact)
         found = counts_along(words, guess, known).toArrow().sort_by("step")
         ends = np.searchsorted(found["step"].to_numpy(), np.arange(known, len(guess) + 2))
         keys, by, ranking = found["pair"].to_numpy(), found["n"].to_numpy(), Ranking()
+        for k in range(known + 1, len(guess) + 1):
+            exact.learn(guess, k, keys[ends[k - known] : ends[k - known + 1]], by[ends[k - known] : ends[k - known + 1]])
         for k in range(known, count):
             if k <= len(guess):
                 ranking.add(keys[ends[k - known] : ends[k - known + 1]], by[ends[k - known] : ends[k - known + 1]])
@@ -261,6 +322,8 @@ def merges_of(words: DataFrame, count: int, most: int = MOST_WORDS) -> list[Pair
                 return merges
             merges.append((best >> 32, best & 0xFFFFFFFF))
             if k >= len(guess) or guess[k] != merges[k]:
+                there = [(key, n) for key, n in ranking.counts.items() if n > 0]
+                exact.step, exact.counts = k, tuple(np.array(there, np.int64).reshape(-1, 2).T)
                 break
     return merges
 
@@ -280,8 +343,8 @@ def merged(word: list[int], pair: Pair, new: int) -> list[int]:
 def train(texts: DataFrame, column: str, vocab: int) -> Tokenizer:
     """A tokenizer of at most ``vocab`` tokens.
 
-    Spark counts the pre-tokens and writes them once. The merges follow from all of them; the driver never has
-    more than some MOST_WORDS (see ``merges_of``).
+    Spark counts the pre-tokens and writes them once. The merges follow from all of them; the driver
+    has none of them (see ``merges_of``).
     """
     count = vocab - OFFSET - BYTES
     if count < 0:
@@ -483,6 +546,65 @@ def decode_column(df: DataFrame, column: str, merges: list[Pair], out: str = "te
     return df.withColumn(out, run(column))
 
 
+class Counts:
+    """How many ids the texts of a column have under each of several vocabularies, the merges of which begin those of the last."""
+
+    def __init__(self, merges: list[Pair], prefixes: list[int]) -> None:
+        """``prefixes``: ascending numbers of merges."""
+        self.encoder, self.merges, self.prefixes = BatchEncoder(Tokenizer([])), merges, prefixes
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, len(prefixes)), np.int32)
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row of numbers for each word. Merges in their order give what the lowest rank first gives in each word."""
+        symbols, _ = symbols_of([w.encode() for w in words], [])
+        made = np.empty((len(words), len(self.prefixes)), np.int32)
+        done = 0
+        for i, n in enumerate(self.prefixes):
+            for k in range(done, min(n, len(self.merges))):
+                symbols = joined(symbols, self.merges[k], BYTES + k)
+            done = max(done, min(n, len(self.merges)))
+            made[:, i] = np.diff(np.flatnonzero(symbols == END), prepend=-1) - 1
+        return made
+
+    def some(self, texts: list[str | None]) -> pa.Array:
+        cut = [None if t is None else self.encoder.words(t) for t in texts]
+        new = list(set().union(*filter(None, cut)) - self.known.keys())
+        if new and len(self.known) > 500_000:
+            self.known, self.table = {}, self.table[:0]
+            new = list(set().union(*filter(None, cut)))
+        if new:
+            rows = self.of_words(new)
+            rows[[w in self.encoder.special for w in new]] = 1
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, rows])
+        sizes = np.array([len(c or []) for c in cut], np.int64)
+        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(filter(None, cut))), np.int64, sizes.sum())
+        sums = np.concatenate([np.zeros((1, len(self.prefixes)), np.int64), np.cumsum(self.table[places], axis=0, dtype=np.int64)])
+        ends = np.cumsum(sizes)
+        values = pa.array((sums[ends] - sums[ends - sizes]).astype(np.int32).ravel())
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(self.prefixes))
+        return pa.ListArray.from_arrays(offsets, values, mask=pa.array([c is None for c in cut]))
+
+    column = BatchEncoder.column
+
+
+def count_tokens(df: DataFrame, column: str, merges: list[Pair], vocabs: list[int], out: str = "tokens") -> DataFrame:
+    """``df`` with the numbers of ids that a text has under vocabularies of ascending sizes, whose merges are the first of ``merges``.
+
+    As the sizes of what ``encode_column`` gives; texts are cut once for all of them and no ids leave the task.
+    """
+    sent = df.sparkSession.sparkContext.broadcast((merges, [v - OFFSET - BYTES for v in vocabs]))
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Counts(*sent.value)
+        for batch in batches:
+            yield known.column(batch)
+
+    return df.withColumn(out, run(column))
+
+
 def output_ids(ids: Column) -> Column:
     """Ids without a leading BOS and from the first EOS on."""
     begin = F.when(F.get(ids, F.lit(0)) == BOS, 2).otherwise(1)
@@ -595,7 +717,12 @@ def epochs(store: DataFrame, budget: int, seed: int = 0) -> Iterator[list]:
 
 def token_stats(rows: DataFrame, text: Column, ids: Column) -> DataFrame:
     """Tokens a sentence (mean, p95) and characters a token; texts are encoded once."""
+    return count_stats(rows, F.length(text), F.size(ids))
+
+
+def count_stats(rows: DataFrame, chars: Column, tokens: Column) -> DataFrame:
+    """The same of numbers of characters and tokens."""
     from bitloom.operators.corpus import length_stats
 
     per = (F.sum("chars") / F.nullif(F.sum(F.col("v") * F.col("c")), F.lit(0))).alias("chars_per_token")
-    return length_stats(rows, F.size(ids), sums={"chars": F.length(text)}, more=[per]).select("mean", "p95", "chars_per_token")
+    return length_stats(rows, tokens, sums={"chars": chars}, more=[per]).select("mean", "p95", "chars_per_token")
