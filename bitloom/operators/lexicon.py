@@ -55,7 +55,12 @@ def lists(line: np.ndarray, values: pa.Array, n: int) -> pa.Array:
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The line of each value of an array column, and the values."""
+    """The line of each value of an array column, and the values; of a column of texts, their words between spaces."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        column = pc.split_pattern(column, " ")
+        line, words = np.asarray(pc.list_parent_indices(column), np.int64), pc.list_flatten(column)
+        some = pc.not_equal(words, "")
+        return line[np.asarray(some)], words.filter(some)
     return np.asarray(pc.list_parent_indices(column), np.int64), pc.list_flatten(column)
 
 
@@ -89,8 +94,8 @@ def split_lines(pairs: DataFrame, src: pa.Array, tgt: pa.Array) -> DataFrame:
     return pairs.select(F.monotonically_increasing_id().alias("row"), "src", "tgt").mapInArrow(run, LINE)
 
 
-def counted(rows: DataFrame, columns: dict[int, str]) -> DataFrame:
-    """(side, token, n) of array columns by side; counted in each task first."""
+def counted(rows: DataFrame, columns: dict[int, str], once: tuple[int, ...] = ()) -> DataFrame:
+    """(side, token, n) of columns of tokens or texts by side; counted in each task first. ``once``: sides of which a line counts a token once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.Table]] = {side: [] for side in columns}
@@ -104,7 +109,13 @@ def counted(rows: DataFrame, columns: dict[int, str]) -> DataFrame:
 
         for batch in batches:
             for side, name in columns.items():
-                found = pc.value_counts(pc.list_flatten(batch[name]))
+                line, tokens = flat(batch[name])
+                if side in once:
+                    coded = tokens.dictionary_encode()
+                    codes = np.asarray(coded.indices.fill_null(len(coded.dictionary)), np.int64)
+                    codes = np.unique(line << 32 | codes) & 0xFFFFFFFF
+                    tokens = coded.dictionary.take(pa.array(codes[codes < len(coded.dictionary)]))
+                found = pc.value_counts(tokens)
                 held[side].append(pa.table({"token": found.field("values").cast("string"), "n": found.field("counts")}))
                 if sum(x.num_rows for x in held[side]) > 1 << 20:
                     held[side] = [summed(side)]
@@ -121,7 +132,7 @@ def counted(rows: DataFrame, columns: dict[int, str]) -> DataFrame:
 def lexicon(pairs: DataFrame, most: int = MOST_COMMON) -> DataFrame:
     """(src, tgt): for each source token the target token with the highest co-occurrence over frequency.
 
-    ``pairs`` has token arrays src and tgt. Co-occurrence counts lines that have both tokens; the frequency counts
+    ``pairs`` has src and tgt, arrays of tokens or texts with spaces between tokens. Co-occurrence counts lines that have both tokens; the frequency counts
     every occurrence. Of equals the smallest token wins.
 
     A line's rarest target token t gives each source token s of the line a score of at least 1/freq(t), and no pair has more
@@ -129,7 +140,7 @@ def lexicon(pairs: DataFrame, most: int = MOST_COMMON) -> DataFrame:
     a bound excludes can't win, so all that is left out are pairs of losers. A bound of ties goes by the tokens' beginnings.
     """
     spark = pairs.sparkSession
-    counts = written(counted(pairs.select(F.array_distinct("src").alias("src"), "tgt"), {SRC: "src", TGT: "tgt"}), "counts")
+    counts = written(counted(pairs, {SRC: "src", TGT: "tgt"}, once=(SRC,)), "counts")
     (s_common, s_lines), (t_common, t_freq) = common(counts, SRC, most), common(counts, TGT, most)
     lines = written(split_lines(pairs, s_common, t_common), "lines")
     tagged = lambda side, c: F.transform(c, lambda x: F.struct(F.lit(side).alias("side"), x.alias("token")))
@@ -225,7 +236,7 @@ def lexicon(pairs: DataFrame, most: int = MOST_COMMON) -> DataFrame:
 def translate_by_lexicon(sentences: DataFrame, lex: DataFrame, most: int = MOST_COMMON) -> DataFrame:
     """(id, hyp): known tokens replaced in order; a token equal to the one before it is left out.
 
-    Ids are different. What the commonest tokens become is sent to every task; rarer ones meet their translations in a join.
+    Ids are different; src is an array of tokens or a text with spaces between them. What the commonest tokens become is sent to every task; rarer ones meet their translations in a join.
     """
     spark = sentences.sparkSession
     lex = written(lex.select("src", "tgt"), "lexicon")

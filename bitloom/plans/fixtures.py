@@ -18,6 +18,14 @@ def kana_image(text: Column) -> Column:
     return F.translate(F.lower(text), LATIN, KANA)
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents with a kana image of their beginning: source, doc_id, line_no, en_raw, ja_raw."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "en_raw"))
+    cut = F.floor(F.length("en_raw") / (1 + F.col("doc_id") % 8)).cast("int")
+    ja = F.when(F.col("doc_id") % 11 == 0, F.col("en_raw")).otherwise(kana_image(F.substring(F.col("en_raw"), F.lit(1), cut)))
+    return rows.select("source", "doc_id", "line_no", "en_raw", ja.alias("ja_raw"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents with a kana image of their beginning: source, source_ord, doc_id, line_no, en_raw, ja_raw."""
     docs = table(spark, sf_dir, "documents")
